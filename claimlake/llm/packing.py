@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from claimlake.llm.text import small_batches
 from claimlake.llm.tokens import default_vocabulary, word_ids
@@ -178,7 +179,7 @@ def pack(pieces: DataFrame, seq: int = SEQ, order: tuple[str, ...] = ("doc_id",
     hist = np.zeros(seq + 1, dtype=np.int64)
     for r in found:
         hist[r["length"]] = r["n"]
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     if not hist.sum():
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(plan(hist))
