@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from claimlake.llm import language, packing
+from claimlake.llm import language, mixing, packing, token_files
 
-_MODULES = (packing, language)
+_MODULES = (packing, mixing, token_files, language)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in _MODULES for k, q in m.SQL.items()}
