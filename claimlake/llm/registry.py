@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from claimlake.llm import language, mixing, packing, quality, token_files, warc
+from claimlake.llm import language, mixing, packing, quality, simhash, token_files, warc
 
-_MODULES = (packing, mixing, warc, token_files, quality, language)
+_MODULES = (packing, mixing, warc, token_files, quality, simhash, language)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in _MODULES for k, q in m.SQL.items()}
