@@ -31,33 +31,21 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """(node, component) for each node of an undirected edge table.
 
-    component is the smallest node reachable. Self-loops and repeated edges do no harm;
-    rows with a null end are ignored; an empty table gives an empty result.
+    component is the smallest node reachable. Self-loops and repeated edges do no harm, rows
+    with a null end are ignored, and a node without an edge to another one has no row.
     """
-    now = cut(
-        edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(),
-        "edges",
-    )
-    loops = now.where("hi = lo").select("hi")
-    links = now.where("hi <> lo")
+    ends = F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")
+    links = cut(edges.where(F.col(a) != F.col(b)).select(*ends).distinct(), "edges")
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
 
-    before, last = mark(links), None
-    while before[0] and before != last:
-        last = before
-        after = cut(_star(_star(links, small=False), small=True), "star")
-        if links is not now and last is not None:
-            _drop_quietly(links)
-        links, before = after, mark(after)
-    stars = links.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    now, before = mark(links), None
+    while now[0] and now != before:
+        old, before = links, now
+        links = cut(_star(_star(old, small=False), small=True), "star")
+        now = mark(links)
+        drop(old)
     # a root stands only at the low end of its star
-    return stars.unionAll(stars.select(F.col("component").alias("node"), "component").distinct()).unionAll(
-        loops.join(stars.select(F.col("node").alias("hi")), "hi", "left_anti").join(stars.select(F.col("component").alias("hi")), "hi", "left_anti").select(F.col("hi").alias("node"), F.col("hi").alias("component"))
-    )
-
-
-def _drop_quietly(df: DataFrame) -> None:
-    if df.inputFiles():
-        drop(df)
+    stars = links.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    return stars.unionAll(links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
