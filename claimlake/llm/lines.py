@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimlake.llm.quality import let
 from claimlake.operators.components import components
 from claimlake.scratch import cut
 
@@ -38,26 +39,35 @@ BLANKS = " \t\r\x0b\x0c"
 
 def _shingles(norm: Column) -> Column:
     """Sorted distinct hashes of a normalised line's shingles."""
-    words = F.split(norm, r"[\x20\x09-\x0D]+")
+    odd = F.contains(norm, F.lit("  "))
+    for blank in BLANKS[1:]:
+        odd = odd | F.contains(norm, F.lit(blank))
+    words = F.when(odd, F.split(norm, r"[\x20\x09-\x0D]+")).otherwise(F.split(norm, " "))
 
     def hashes(w: Column) -> Column:
-        return F.transform(w, lambda x, i: F.xxhash64(F.substring(F.concat_ws(" ", x, F.get(w, i + 1)), 1, CHARS)))
+        return F.transform(w, lambda x, i: F.xxhash64(F.substring(F.concat(x, F.lit(" "), F.coalesce(F.get(w, i + 1), F.lit(""))), 1, CHARS)))
 
-    return F.sort_array(F.array_distinct(F.element_at(F.transform(F.array(words), hashes), 1)))
+    return F.sort_array(F.array_distinct(let(words, hashes)))
 
 
 def _bands(shingles: Column) -> Column:
     """Hashes of the runs in the signature of a sorted shingle array."""
-    signature = F.slice(shingles, 1, KEPT)
 
     def runs(s: Column, n: int) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(s) - n), lambda i: F.xxhash64(F.lit(n), *(F.get(s, i + k) for k in range(n))))
 
-    none = F.array().cast("array<bigint>")
-    size = F.size(shingles)
-    two = F.when((size >= 2) & (size <= TEN), runs(signature, 2)).otherwise(none)
-    three = F.when(size > TEN - 3, runs(signature, RUN)).otherwise(none)
-    return F.when(size == 1, shingles).otherwise(F.concat(two, three))
+    def bands(all_: Column) -> Column:
+        none = F.array().cast("array<bigint>")
+        size = F.size(all_)
+
+        def of(s: Column) -> Column:
+            two = F.when((size >= 2) & (size <= TEN), runs(s, 2)).otherwise(none)
+            three = F.when(size > TEN - 3, runs(s, RUN)).otherwise(none)
+            return F.when(size == 1, all_).otherwise(F.concat(two, three))
+
+        return let(F.slice(all_, 1, KEPT), of)
+
+    return let(shingles, bands)
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
