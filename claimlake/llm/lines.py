@@ -8,10 +8,9 @@ miss a run only if every run meets a shingle that they don't share: at Jaccard 0
 of pairs meet in a band, at 0.9 nearly all; lines that meet nowhere directly can still be
 joined through a third one.
 
-Lines of a band are compared by the exact Jaccard of their whole shingle sets. Each line is
-compared with the band's leader; only lines that aren't similar to the leader are compared
-with the band's others. The verified links go to the distributed union-find, and the first
-place (doc_id, line number) of a component is kept.
+Lines of a band are compared by the exact Jaccard of their whole shingle sets: with leaders
+first, then in pairs those that no link joins yet (see fuzzy_links). The verified links go to
+the distributed union-find, and the first place (doc_id, line number) of a component is kept.
 
 Equal lines are one line, by a 64-bit hash, before anything is compared (n distinct lines
 collide with probability about n^2 / 2^65). Hot lines and bands are combined before the
@@ -32,6 +31,11 @@ from claimlake.operators.components import components
 from claimlake.scratch import cut
 
 CHARS, KEPT, RUN, TEN, SIMILAR = 8, 12, 3, 10, 0.8
+#: Times that a band's lines meet a leader before what is left meets in pairs.
+ROUNDS = 2
+#: Lines of a band that may meet in pairs; larger bands are told apart by runs of LONG_RUN
+#: among the LONG_KEPT smallest hashes first.
+GROUP, LONG_KEPT, LONG_RUN = 32, 64, 8
 #: Rows of two longs that are broadcast, at most; larger tables are joined by shuffling.
 FEW = 500_000
 BLANKS = " \t\r\x0b\x0c"
@@ -50,19 +54,21 @@ def _shingles(norm: Column) -> Column:
     return F.sort_array(F.array_distinct(let(words, hashes)))
 
 
+def _runs(s: Column, n: int) -> Column:
+    """Hashes of the runs of n neighbours in an array."""
+    return F.transform(F.sequence(F.lit(0), F.size(s) - n), lambda i: F.xxhash64(F.lit(n), *(F.get(s, i + k) for k in range(n))))
+
+
 def _bands(shingles: Column) -> Column:
     """Hashes of the runs in the signature of a sorted shingle array."""
 
-    def runs(s: Column, n: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(s) - n), lambda i: F.xxhash64(F.lit(n), *(F.get(s, i + k) for k in range(n))))
-
     def bands(all_: Column) -> Column:
         none = F.array().cast("array<bigint>")
         size = F.size(all_)
 
         def of(s: Column) -> Column:
-            two = F.when((size >= 2) & (size <= TEN), runs(s, 2)).otherwise(none)
-            three = F.when(size > TEN - 3, runs(s, RUN)).otherwise(none)
+            two = F.when((size >= 2) & (size <= TEN), _runs(s, 2)).otherwise(none)
+            three = F.when(size > TEN - 3, _runs(s, RUN)).otherwise(none)
             return F.when(size == 1, all_).otherwise(F.concat(two, three))
 
         return let(F.slice(all_, 1, KEPT), of)
@@ -83,40 +89,84 @@ def _only(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """pairs (a, b, ...) with alike: whether the Jaccard of their shingle sets reaches similar."""
+    """pairs (a, b) with alike: whether the Jaccard of their shingle sets reaches similar."""
     one = sets.select(F.col("line").alias("a"), F.col("shingles").alias("_x"))
     two = sets.select(F.col("line").alias("b"), F.col("shingles").alias("_y"))
     found = pairs.join(one, "a").join(two, "b")
     both = F.size(F.array_intersect("_x", "_y"))
-    return found.withColumn("alike", both >= similar * (F.size("_x") + F.size("_y") - both)).drop("_x", "_y")
+    return found.select("a", "b", (both >= similar * (F.size("_x") + F.size("_y") - both)).alias("alike"))
+
+
+def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
+    """members with label: lines with one label are joined by links; without links, each line itself."""
+    if links is None:
+        return members.withColumn("label", F.col("line"))
+    found = cut(components(links, "a", "b"), "labels")
+    few = F.broadcast if found.count() <= FEW else lambda x: x
+    return members.join(few(found.select(F.col("node").alias("line"), F.col("component").alias("label"))), "line", "left").withColumn("label", F.coalesce("label", "line"))
 
 
 def fuzzy_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(a, b): verified links between distinct lines. lines: split_lines() with bands, written."""
-    banded = lines.select("line", F.explode("bands").alias("band"))
-    groups = cut(banded.groupBy("band").agg(F.min("line").alias("leader"), F.max("line").alias("last")).where("leader < last").select("band", "leader"), "bands")
-    members = cut(_only(banded, groups, "band").where("line <> leader").distinct(), "members")
-    pairs = members.select(F.col("leader").alias("a"), F.col("line").alias("b")).distinct()
-    wanted = cut(pairs.select(F.col("a").alias("line")).unionAll(pairs.select(F.col("b").alias("line"))).distinct(), "wanted")
+    """(a, b): verified links between distinct lines; lines that share a band and are similar
+    end in one component. lines: split_lines() with bands and n (shingles), written.
+
+    ROUNDS rounds compare the lines of a band with a leader drawn by hash, except those that
+    links already join to it, so a band of many copies costs one comparison each. What then is
+    not yet joined within a band meets in pairs, in a band of more than GROUP lines only where
+    longer runs agree: such bands hold lines that share a passage and little else. Sizes that differ too much for the
+    similarity are never compared.
+    """
+    banded = lines.select("line", "n", F.explode("bands").alias("band"))
+    groups = cut(banded.groupBy("band").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo < hi").select("band"), "bands")
+    members = cut(_only(banded, groups, "band").distinct(), "members")
+    wanted = cut(members.select("line").distinct(), "wanted")
     # sets of the wanted lines only, each from its first place
     first = cut(_only(lines.select("line", "doc_id", "line_no"), wanted, "line").groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("line", "at.doc_id", "at.line_no"), "first")
     text = split_lines(docs).join(F.broadcast(first) if first.count() <= FEW else first, ["line", "doc_id", "line_no"])
     sets = cut(text.dropDuplicates(["line"]).select("line", _shingles(F.col("norm")).alias("shingles")), "sets")
-    judged = cut(_verify(pairs, sets, similar), "judged")
-    linked = judged.where("alike").select("a", "b")
-    apart = judged.where("not alike").select(F.col("a").alias("leader"), F.col("b").alias("line"))
-    # lines unlike their band's leader meet the band's others
-    lone = members.join(apart, ["leader", "line"]).select("band", F.col("line").alias("x"))
-    others = lone.join(members.select("band", F.col("line").alias("y")), "band").where("x <> y")
-    more = others.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return linked.unionAll(_verify(more, sets, similar).where("alike").select("a", "b"))
+
+    def could(n: str, m: str) -> Column:
+        return F.least(n, m) >= similar * F.greatest(n, m)
+
+    judged = None
+    for round_ in range(ROUNDS):
+        named = _labelled(members, judged.where("alike") if judged is not None else None)
+        leader = F.min(F.struct(F.xxhash64("line", F.lit(round_)), F.col("line").alias("l"), F.col("label").alias("ll"), F.col("n").alias("ln"))).alias("x")
+        open_ = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), leader).where("lo < hi").select("band", "x.l", "x.ll", "x.ln")
+        met = named.join(open_, "band").where((F.col("label") != F.col("ll")) & could("n", "ln"))
+        pairs = met.select(F.least("line", "l").alias("a"), F.greatest("line", "l").alias("b")).distinct()
+        pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti") if judged is not None else pairs
+        now = cut(_verify(pairs, sets, similar), "judged")
+        judged = now if judged is None else cut(judged.unionAll(now), "judged")
+    named = cut(_labelled(members, judged.where("alike")), "named")
+    open_ = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("band", "m")
+    left = cut(named.join(open_, "band"), "open")
+    # a large band holds lines that share a passage: they meet by longer runs of their sets
+    few = left.where(F.col("m") <= GROUP).groupBy("line").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_set("band").alias("few"))
+    many = left.where(F.col("m") > GROUP).select("line", "n", "label").distinct()
+    met = few.join(many.select("line", F.col("n").alias("_n"), F.col("label").alias("_label"), F.lit(True).alias("many")), "line", "full")
+    met = met.select("line", F.coalesce("n", "_n").alias("n"), F.coalesce("label", "_label").alias("label"), "few", "many").join(sets, "line")
+    # of many runs the even half does: the same half in any line
+    long_run = let(F.slice("shingles", 1, LONG_KEPT), lambda s: F.filter(_runs(s, LONG_RUN), lambda x: (F.size(s) < LONG_KEPT / 2) | (x % 2 == 0)))
+    runs = F.when(F.size("shingles") < LONG_RUN, F.array(F.xxhash64("shingles"))).otherwise(long_run)
+    none = F.array().cast("array<bigint>")
+    met = met.withColumn("keys", F.array_distinct(F.concat(F.coalesce("few", none), F.when(F.col("many"), runs).otherwise(none))))
+    met = cut(met.select("line", "n", "label", "shingles", "keys"), "close")
+    x, y = (met.select(F.explode("keys").alias("key"), *(F.col(c).alias(f"{c}_{k}") for c in met.columns)) for k in "ab")
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    # a pair is compared under the first key that it shares, and only similar ones leave the join
+    alike = (F.col("line_a") < F.col("line_b")) & (F.col("label_a") != F.col("label_b")) & could("n_a", "n_b")
+    alike = alike & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key_a")) & (both >= similar * (F.col("n_a") + F.col("n_b") - both))
+    rest = x.withColumnRenamed("key", "key_a").join(y.withColumnRenamed("key", "key_b"), (F.col("key_a") == F.col("key_b")) & alike)
+    return judged.where("alike").select("a", "b").unionAll(rest.select(F.col("line_a").alias("a"), F.col("line_b").alias("b")))
 
 
 def dedup_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, line_no, line, component, kept) of every line of (doc_id, text) with a word."""
     docs = docs.select("doc_id", "text")
     rows = split_lines(docs)
-    lines = cut(rows.select("doc_id", "line_no", "line", _bands(_shingles(F.col("norm"))).alias("bands")), "lines")
+    signed = rows.select("doc_id", "line_no", "line", let(_shingles(F.col("norm")), lambda s: F.struct(F.size(s).alias("n"), _bands(s).alias("bands"))).alias("s"))
+    lines = cut(signed.select("doc_id", "line_no", "line", "s.n", "s.bands"), "lines")
     found = cut(components(cut(fuzzy_links(docs, lines, similar), "links"), "a", "b"), "line-components")
     places = lines.select("doc_id", "line_no", "line")
     few = found.count() <= FEW
