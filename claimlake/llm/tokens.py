@@ -42,23 +42,36 @@ class WordIds(dict):
         return ids.tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        # Letters and a following comma or stop are split by the vocabulary's pattern, and it
-        # lower-cases: both let a new word share the entry of a known one.
+        # Letters and a following comma or stop are split by the vocabulary's pattern, so a new
+        # word can use a known one's ids. It takes an entry of its own if that one came before.
         if len(word) > 1 and word[-1] in ",." and word[-2].isascii() and word[-2].isalpha():
+            keep = word[:-1] in self
             ids = self[word[:-1]] + self[word[-1]]
-        elif word.isascii() and "<" not in word and (low := word.lower()) != word:
-            ids = self[low]
         else:
-            ids = self._encode(word)
-        if len(self) < LIMIT and len(word) <= LONG:
+            keep, ids = len(word) <= LONG, self._encode(word)
+        if keep and len(self) < LIMIT:
             self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        parts = [b"".join(map(self.__getitem__, c.replace("\n", " ").split(" "))) for c in chunks(text)]
+        parts = [b"".join(map(self.__getitem__, _lower(c).replace("\n", " ").split(" "))) for c in chunks(text)]
         return parts[0] if len(parts) == 1 else b"".join(parts)
 
 
+def _lower(text: str) -> str:
+    """Latin-1 text in lower case, as the vocabulary's normaliser does anyway; other text as it is.
+
+    Special tokens, which begin with <|, are matched before the normaliser and stay.
+    """
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     """One table a worker process."""
