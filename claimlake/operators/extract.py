@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from claimlake.functions import text as X
 from claimlake.functions.schemas import EXTRACTION, FIELDS, MODEL_OUTPUT
+from claimlake.operators import versions
+from claimlake.scratch import cut
 
 # Fixed values
 DAILY_LIMIT, RETRIES, BACKOFF_S, PACE_S, REPAIRS = 10_000, 3, 60.0, 0.5, 2
@@ -109,6 +111,20 @@ def run_batch(mails: DataFrame, done: DataFrame, model: Callable[[str], str] = r
     return extract(rows, model, **options)
 
 
+def reextract_stale(mails: DataFrame, extractions: DataFrame, prompt_version: str, model_name: str, model: Callable[[str], str] = rule_model, limit: int | None = None, dry_run: bool = False, ord: tuple[str, ...] = ("ord",), **options) -> DataFrame:
+    """extractions with those of another prompt version made anew; others stay as they are.
+
+    limit: at most so many mails, in ingest order. dry_run returns the stale ids instead. What
+    can't be extracted keeps its old record.
+    """
+    old = versions.stale(extractions, prompt_version).select("message_id").distinct()
+    if dry_run:
+        return old if limit is None else old.orderBy("message_id").limit(limit)
+    rows = mails.join(old, "message_id", "left_semi").orderBy(*ord)
+    rows = rows if limit is None else rows.limit(limit)
+    return versions.upsert(extractions, cut(results(extract(rows, model, **options), prompt_version, model_name), "reextracted"))
+
+
 def to_items(extractions: DataFrame) -> DataFrame:
     """The nested lists as one long table of items: (message_id, field, idx, ...)."""
     columns = {

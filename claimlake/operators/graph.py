@@ -88,6 +88,35 @@ def uniqueness(tables: dict[str, DataFrame]) -> DataFrame:
     return found
 
 
+#: Properties that queries filter on, by label.
+INDEXED = {
+    "Person": ("canonical_name", "is_deleted"),
+    "Organization": ("canonical_name", "org_type", "is_deleted"),
+    "Claim": ("type", "status", "valid_from", "valid_to", "is_deleted"),
+    "Message": ("date",),
+    "Decision": ("is_deleted",),
+    "Deal": ("is_deleted",),
+}
+
+
+def statements() -> list[str]:
+    """Statements that a property-graph database takes for the same keys and indexes."""
+    unique = [f"CREATE CONSTRAINT {label.lower()}_key IF NOT EXISTS FOR (n:{label}) REQUIRE n.{key} IS UNIQUE" for label, key in NODES.items()]
+    return unique + [f"CREATE INDEX {label.lower()}_{p} IF NOT EXISTS FOR (n:{label}) ON (n.{p})" for label, ps in INDEXED.items() for p in ps]
+
+
+def issue(execute, wanted: list[str] | None = None) -> list[tuple[str, str | None]]:
+    """(statement, error) after execute(statement) of each; one that fails doesn't stop the rest."""
+    out = []
+    for s in statements() if wanted is None else wanted:
+        try:
+            execute(s)
+            out.append((s, None))
+        except Exception as e:  # the database's answer is reported
+            out.append((s, str(e)))
+    return out
+
+
 def write(tables: dict[str, DataFrame], path: str) -> None:
     """One Parquet table a label, clustered by key so that readers prune by its range."""
     for label, df in tables.items():

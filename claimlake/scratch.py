@@ -6,6 +6,8 @@ master may do without that setting (tests, notebooks): it gets a temporary folde
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = tempfile.mkdtemp(prefix="claimlake-")
+        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
     return f"file://{_local[app]}"
 
 

@@ -70,3 +70,35 @@ def test_enrichment_end_to_end(spark, tmp_path):
     assert enrich.enrich(items, mails, how="inner").count() == 2
     assert scoring.review_queue(out.items).count() == 0
     assert noise.region_stats(mails).first()["region_type"] == "signature"
+
+
+def test_reextract(spark):
+    mails = spark.createDataFrame([(i, "a", ["b"], "", "Ann Lee met Bob Ray", k) for k, i in enumerate("abc")], "message_id string, from_addr string, to_addrs array<string>, subject string, body string, ord int")
+    old = spark.createDataFrame([(i, v, "m", [], [], [], [], []) for i, v in (("a", "old"), ("b", "new"), ("c", None))], EXTRACTION)
+    assert {r[0] for r in extract.reextract_stale(mails, old, "new", "m2", dry_run=True).collect()} == {"a", "c"}
+    got = {r["message_id"]: (r["prompt_version"], r["model_name"]) for r in extract.reextract_stale(mails, old, "new", "m2", limit=1).collect()}
+    assert got == {"a": ("new", "m2"), "b": ("new", "m"), "c": (None, "m")}
+
+
+def test_commands(spark, tmp_path):
+    from claimlake.__main__ import main
+    from claimlake.operators import dedup, graph
+
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / str(k)).write_text(RAW.replace("<1@x>", f"<{k}@x>"))
+    out = str(tmp_path / "out")
+    main(["ingest", str(tmp_path / "in"), out])
+    main(["threads", f"{out}/mails", f"{out}/t"])
+    main(["dedup", f"{out}/mails", f"{out}/d", "--exact-only"])
+    assert [r[0] for r in spark.read.text(f"{out}/d/duplicate_ids").collect()] == ["<1@x>", "<2@x>"]
+    mails = spark.read.json(f"{out}/mails")
+    assert mails.count() == 3
+    v = dedup.embed(mails, lambda texts: [[1.0, 0.0] for _ in texts])
+    assert v.count() == 3 and dedup.near_pairs(v).count() == 3
+    assert len(graph.statements()) == 20
+
+    def refuse(s):
+        raise RuntimeError("no")
+
+    assert all(e == "no" for _, e in graph.issue(refuse))
