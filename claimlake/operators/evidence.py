@@ -23,7 +23,7 @@ def locate(rows: DataFrame, quote: str = "evidence", body: str = "body") -> Data
     """
     has = F.coalesce(F.length(quote), F.lit(0)) > 0
     text = F.coalesce(F.col(body), F.lit(""))
-    rows = rows.withColumn("_q", squeeze(F.col(quote))).withColumn("_b", collapse(text))
+    rows = rows.withColumn("_q", squeeze(F.col(quote))).withColumn("_b", F.when(has, collapse(text)))
     first = F.expr("locate(_q, _b)")
     rows = rows.withColumn("_at", F.when(~has | (text == ""), F.lit(0)).when(first > 0, first).otherwise(F.expr("locate(lower(_q), lower(_b))")))
     rows = rows.withColumn("_om", F.when(F.col("_at") > 0, offset_map(text)))
