@@ -274,7 +274,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = cut(found, "components")
     first = found.join(distinct, "fp").groupBy("component").agg(F.min("least").alias("first"))
     linked = found.join(first, "component").select("fp", "first")
-    labels = distinct.join(linked, "fp", "left").select("fp", F.coalesce("first", "least").alias("component_id"))
+    # written first, so that both sides of the join are plain exchanges and a hot fingerprint can be split
+    labels = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("first", "least").alias("component_id")), "labels")
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
