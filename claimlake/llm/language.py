@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from claimlake.llm.text import chunks, small_batches
 
-PER_LANG, MAX_WORDS, MAX_GRAMS, MIN_COUNT = 2_000, 100_000, 100_000, 2
+PER_LANG, MAX_WORDS, MAX_GRAMS, MIN_COUNT = 2_000, 60_000, 60_000, 2
 LONGEST, KEPT = 5, 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -149,9 +149,11 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, max_words: int = MAX_WORDS, m
     table = table.withColumn("total", total).where(F.col("total") >= MIN_COUNT)
     model = Model(langs)
     for kind, most in ((0, max_words), (1, max_grams)):
-        rows = table.where(F.col("kind") == kind).orderBy(F.desc("total"), "gram").limit(most).toPandas()
-        index = {g: i for i, g in enumerate(rows["gram"])}
-        n = rows[[f"n{i}" for i in range(len(langs))]].to_numpy(dtype=np.float64).reshape(len(index), len(langs)) + 0.5
+        names = [f"n{i}" for i in range(len(langs))]
+        rows = table.where(F.col("kind") == kind).orderBy(F.desc("total"), "gram").limit(most).select("gram", *names).collect()
+        index = {r[0]: i for i, r in enumerate(rows)}
+        n = np.array([r[1:] for r in rows], dtype=np.float64).reshape(len(index), len(langs)) + 0.5
+        del rows
         logs = np.log(n / np.maximum(n.sum(axis=0, keepdims=True), 1))
         # what a word says about the language: its log share among the languages
         logs -= np.log(np.exp(logs).sum(axis=1, keepdims=True)) if len(index) else 0
