@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations.
 
-Lines are lower-cased and trimmed. A line's shingles are the runs of up to CHARS characters
-that begin at its words (over two words at most), hashed to 64 bits and sorted: the smallest
+Lines are lower-cased and trimmed. A line's shingles are the runs of CHARS characters at
+every position (a shorter line is one shingle), hashed to 64 bits and sorted: the smallest
 KEPT values are the signature. Bands are runs of RUN neighbouring values of the signature (of
 two, in lines of up to TEN shingles; lines of one shingle are their own band). Similar lines
 miss a run only if every run meets a shingle that they don't share: at Jaccard 0.8 about 98 %
@@ -38,20 +38,35 @@ ROUNDS = 2
 GROUP, LONG_KEPT, LONG_RUN = 32, 64, 8
 #: Rows of two longs that are broadcast, at most; larger tables are joined by shuffling.
 FEW = 500_000
+#: Positions of a long line that are read as one piece.
+PIECE = 256
 BLANKS = " \t\r\x0b\x0c"
 
 
 def _shingles(norm: Column) -> Column:
-    """Sorted distinct hashes of a normalised line's shingles."""
+    """Sorted distinct hashes of the runs of CHARS characters at every position of a normalised
+    line, each run of blanks one blank; a shorter line is one shingle."""
     odd = F.contains(norm, F.lit("  "))
     for blank in BLANKS[1:]:
         odd = odd | F.contains(norm, F.lit(blank))
-    words = F.when(odd, F.split(norm, r"[\x20\x09-\x0D]+")).otherwise(F.split(norm, " "))
+    flat = F.when(odd, F.regexp_replace(norm, r"[\x20\x09-\x0D]+", " ")).otherwise(norm)
 
-    def hashes(w: Column) -> Column:
-        return F.transform(w, lambda x, i: F.xxhash64(F.substring(F.concat(x, F.lit(" "), F.coalesce(F.get(w, i + 1), F.lit(""))), 1, CHARS)))
+    def starts(n: Column, step: int) -> Column:
+        return F.sequence(F.lit(0), F.greatest(n - CHARS, F.lit(0)), F.lit(step))
 
-    return F.sort_array(F.array_distinct(let(words, hashes)))
+    def pieces(text: Column, size: int) -> Column:
+        # substring walks from the start of its text: pieces keep long lines from taking square time
+        return F.transform(starts(F.length(text), size), lambda i: F.substring(text, i + 1, F.lit(size + CHARS - 1)))
+
+    def hashes(text: Column) -> Column:
+        return F.transform(starts(F.length(text), 1), lambda i: F.xxhash64(F.substring(text, i + 1, F.lit(CHARS))))
+
+    def cut_up(text: Column) -> Column:
+        short = F.length(text) <= PIECE
+        blocks = F.flatten(F.transform(pieces(text, PIECE * PIECE), lambda t: pieces(t, PIECE)))
+        return F.when(short, hashes(text)).otherwise(F.flatten(F.transform(blocks, hashes)))
+
+    return F.sort_array(F.array_distinct(let(flat, cut_up)))
 
 
 def _runs(s: Column, n: int) -> Column:
