@@ -33,9 +33,9 @@ from claimlake.scratch import cut
 CHARS, KEPT, RUN, TEN, SIMILAR = 8, 12, 3, 10, 0.8
 #: Times that a band's lines meet a leader before what is left meets in pairs.
 ROUNDS = 2
-#: Lines of a band that may meet in pairs; larger bands are told apart by runs of LONG_RUN
-#: among the LONG_KEPT smallest hashes first.
-GROUP, LONG_KEPT, LONG_RUN = 32, 64, 8
+#: Lines of a band (linked ones count too) that meet in pairs; those of larger bands meet by
+#: their rarest shingles.
+GROUP = 32
 #: Rows of two longs that are broadcast, at most; larger tables are joined by shuffling.
 FEW = 500_000
 #: Positions of a long line that are read as one piece.
@@ -121,15 +121,29 @@ def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
     return members.join(few(found.select(F.col("node").alias("line"), F.col("component").alias("label"))), "line", "left").withColumn("label", F.coalesce("label", "line"))
 
 
+def _rarest(many: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(line, n, label, key): for each line of many the first n - ceil(similar * n) + 1 of its
+    shingles, rarest first, without those that no other line has. Two lines as similar as that
+    share one of them at least, so no pair is lost; a frequent passage comes last.
+    """
+    all_ = cut(many.join(sets, "line").select("line", "n", "label", F.explode("shingles").alias("key")), "rare")
+    often = cut(all_.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1"), "often")
+    shared = all_.join(F.broadcast(often) if often.count() <= FEW else often, "key")
+    own = shared.groupBy("line").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.array_sort(F.collect_list(F.struct("lines", "key"))).alias("ranked"))
+    # shingles that no other line has come before all others
+    room = F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("ranked"))
+    return own.select("line", "n", "label", F.explode(F.slice("ranked", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("x")).select("line", "n", "label", "x.key")
+
+
 def fuzzy_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(a, b): verified links between distinct lines; lines that share a band and are similar
     end in one component. lines: split_lines() with bands and n (shingles), written.
 
     ROUNDS rounds compare the lines of a band with a leader drawn by hash, except those that
     links already join to it, so a band of many copies costs one comparison each. What then is
-    not yet joined within a band meets in pairs, in a band of more than GROUP lines only where
-    longer runs agree: such bands hold lines that share a passage and little else. Sizes that differ too much for the
-    similarity are never compared.
+    not yet joined within a band meets in pairs; lines of a band of more than GROUP meet all lines
+    of such bands that share one of their rarest shingles instead, which no pair similar enough
+    can avoid. Sizes that differ too much for the similarity are never compared.
     """
     banded = lines.select("line", "n", F.explode("bands").alias("band"))
     groups = cut(banded.groupBy("band").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo < hi").select("band"), "bands")
@@ -156,24 +170,17 @@ def fuzzy_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR) ->
     named = cut(_labelled(members, judged.where("alike")), "named")
     open_ = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("band", "m")
     left = cut(named.join(open_, "band"), "open")
-    # a large band holds lines that share a passage: they meet by longer runs of their sets
-    few = left.where(F.col("m") <= GROUP).groupBy("line").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_set("band").alias("few"))
+    few = left.where(F.col("m") <= GROUP).select("line", "n", "label", F.col("band").alias("key"))
+    # a large band holds lines that share a passage: they meet by their rarest shingles
     many = left.where(F.col("m") > GROUP).select("line", "n", "label").distinct()
-    met = few.join(many.select("line", F.col("n").alias("_n"), F.col("label").alias("_label"), F.lit(True).alias("many")), "line", "full")
-    met = met.select("line", F.coalesce("n", "_n").alias("n"), F.coalesce("label", "_label").alias("label"), "few", "many").join(sets, "line")
-    # of many runs the even half does: the same half in any line
-    long_run = let(F.slice("shingles", 1, LONG_KEPT), lambda s: F.filter(_runs(s, LONG_RUN), lambda x: (F.size(s) < LONG_KEPT / 2) | (x % 2 == 0)))
-    runs = F.when(F.size("shingles") < LONG_RUN, F.array(F.xxhash64("shingles"))).otherwise(long_run)
-    none = F.array().cast("array<bigint>")
-    met = met.withColumn("keys", F.array_distinct(F.concat(F.coalesce("few", none), F.when(F.col("many"), runs).otherwise(none))))
-    met = cut(met.select("line", "n", "label", "shingles", "keys"), "close")
-    x, y = (met.select(F.explode("keys").alias("key"), *(F.col(c).alias(f"{c}_{k}") for c in met.columns)) for k in "ab")
-    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    # a pair is compared under the first key that it shares, and only similar ones leave the join
-    alike = (F.col("line_a") < F.col("line_b")) & (F.col("label_a") != F.col("label_b")) & could("n_a", "n_b")
-    alike = alike & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key_a")) & (both >= similar * (F.col("n_a") + F.col("n_b") - both))
-    rest = x.withColumnRenamed("key", "key_a").join(y.withColumnRenamed("key", "key_b"), (F.col("key_a") == F.col("key_b")) & alike)
-    return judged.where("alike").select("a", "b").unionAll(rest.select(F.col("line_a").alias("a"), F.col("line_b").alias("b")))
+    keyed = cut(few.unionAll(_rarest(many, sets, similar)), "keyed")
+    apart = cut(keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "apart")
+    met = cut(_only(keyed, apart, "key"), "close")
+    x, y = (met.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("line", "n", "label"))) for k in "ab")
+    pairs = x.join(y, "key").where((F.col("line_a") < F.col("line_b")) & (F.col("label_a") != F.col("label_b")) & could("n_a", "n_b"))
+    pairs = cut(pairs.select(F.col("line_a").alias("a"), F.col("line_b").alias("b")).distinct(), "pairs")
+    rest = _verify(pairs, sets, similar).where("alike")
+    return judged.where("alike").select("a", "b").unionAll(rest.select("a", "b"))
 
 
 def dedup_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

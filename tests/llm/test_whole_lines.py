@@ -2,7 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from claimlake.llm import lines
+from claimlake.operators.components import components
+from claimlake.scratch import cut
 from tests.llm.cases import empty
 
 
@@ -58,3 +62,23 @@ def test_against_all_positions(spark):
                 label = [low if x == high else x for x in label]
     # at 0.8 a pair may be missed with a chance of about 2 %
     assert sum(got[k, 0] != (label[k] == k) for k in range(len(texts))) <= 0.02 * len(texts)
+
+
+def test_large_bands(spark, monkeypatch):
+    """Short lines that share a passage, all in one large band; few of them are similar."""
+    rng = random.Random(8)
+    ends = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(220)]
+    texts = ["the same" + e for e in ends]
+    # similar pairs that two leader rounds rarely bring together
+    texts += [t[:-1] + ("0" if k % 2 else "1") for k, t in enumerate(texts[:60])]
+    size = {k: len(all_shingles(t)) for k, t in enumerate(texts)}
+    docs = spark.createDataFrame([(k, t, None, None, 1) for k, t in enumerate(texts)], empty(spark).schema)
+    # every line in one band: whatever is linked doesn't hang on the signature
+    rows = lines.split_lines(docs).select("doc_id", "line_no", "line")
+    rows = rows.join(spark.createDataFrame(list(size.items()), "doc_id long, n int"), "doc_id").withColumn("bands", F.array(F.lit(1).cast("long"))).cache()
+    ids = {r["line"]: r["doc_id"] for r in rows.collect()}
+    monkeypatch.setattr(lines, "ROUNDS", 1)
+    found = components(cut(lines.fuzzy_links(docs, rows), "links"), "a", "b").collect()
+    got = {ids[r["node"]]: ids[r["component"]] for r in found}
+    want = [(a, b) for b in range(len(texts)) for a in range(b) if alike(texts[a], texts[b])]
+    assert len(want) >= 60 and all(got.get(a, a) == got.get(b, b) for a, b in want)
