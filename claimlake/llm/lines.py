@@ -23,6 +23,8 @@ empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,9 +137,19 @@ def _rarest(many: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return own.select("line", "n", "label", F.explode(F.slice("ranked", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("x")).select("line", "n", "label", "x.key")
 
 
-def fuzzy_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def _sets(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line, shingles) of the wanted lines only, each from its first place; ids may be null."""
+    first = _only(lines.select("line", "doc_id", "line_no"), wanted, "line").groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
+    first = cut(first.select(F.col("line").alias("_line"), F.col("at.doc_id").alias("_id"), F.col("at.line_no").alias("_no")), "first")
+    same = (F.col("line") == F.col("_line")) & (F.col("line_no") == F.col("_no")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    text = split_lines(docs).join(F.broadcast(first) if first.count() <= FEW else first, same)
+    return text.dropDuplicates(["line"]).select("line", _shingles(F.col("norm")).alias("shingles"))
+
+
+def fuzzy_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, sets_of: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = _sets) -> DataFrame:
     """(a, b): verified links between distinct lines; lines that share a band and are similar
-    end in one component. lines: split_lines() with bands and n (shingles), written.
+    end in one component. lines: split_lines() with bands and n (shingles), written. sets_of
+    gives the whole shingle sets of the lines that may have a partner.
 
     ROUNDS rounds compare the lines of a band with a leader drawn by hash, except those that
     links already join to it, so a band of many copies costs one comparison each. What then is
@@ -149,10 +161,7 @@ def fuzzy_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR) ->
     groups = cut(banded.groupBy("band").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo < hi").select("band"), "bands")
     members = cut(_only(banded, groups, "band").distinct(), "members")
     wanted = cut(members.select("line").distinct(), "wanted")
-    # sets of the wanted lines only, each from its first place
-    first = cut(_only(lines.select("line", "doc_id", "line_no"), wanted, "line").groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("line", "at.doc_id", "at.line_no"), "first")
-    text = split_lines(docs).join(F.broadcast(first) if first.count() <= FEW else first, ["line", "doc_id", "line_no"])
-    sets = cut(text.dropDuplicates(["line"]).select("line", _shingles(F.col("norm")).alias("shingles")), "sets")
+    sets = cut(sets_of(docs, lines, wanted), "sets")
 
     def could(n: str, m: str) -> Column:
         return F.least(n, m) >= similar * F.greatest(n, m)

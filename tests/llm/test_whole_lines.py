@@ -82,3 +82,10 @@ def test_large_bands(spark, monkeypatch):
     got = {ids[r["node"]]: ids[r["component"]] for r in found}
     want = [(a, b) for b in range(len(texts)) for a in range(b) if alike(texts[a], texts[b])]
     assert len(want) >= 60 and all(got.get(a, a) == got.get(b, b) for a, b in want)
+
+
+def test_fuzzy_lines_without_id(spark):
+    text = "a line that two rows have in nearly the same words, and one of them has no id"
+    rows = [(None, text, None, None, 1), (1, text[:-1] + "t", None, None, 1), (2, text, None, None, 1)]
+    judged = lines.dedup_lines(spark.createDataFrame(rows, empty(spark).schema))
+    assert {r["doc_id"]: r["kept"] for r in judged.collect()} == {None: True, 1: False, 2: False}
