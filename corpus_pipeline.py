@@ -3,7 +3,8 @@
 1. language: documents whose language can't be told (no letter, or less than half of the
    evidence for one language) go.
 2. lines: each fuzzy line stays in its first place only; a document without lines left goes.
-3. near_duplicates: of each SimHash group the document with the smallest id stays.
+3. near_duplicates: of each group of near copies (Jaccard 0.8 on shingles of five words) the
+   row with the smallest id stays.
 4. mix: sources to their target weights; a document comes as often as the mix takes it, the
    last one of a source by rounding.
 5. pack: token ids of all documents into sequences of at most 2048.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlake.llm import language, lines, mixing, packing, simhash
+from claimlake.llm import language, lines, mixing, near, packing
 from claimlake.scratch import cut
 
 LEAST_SCORE = 0.5
@@ -36,12 +37,14 @@ def keep_first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the smallest id, and one row of it."""
+    """One row of each group of near copies: the smallest id (null last), of its texts the smallest key."""
     names = docs.columns
-    found = simhash.near_duplicates(docs)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")  # rows without an id: one key
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
-    return docs.select("*", key).join(kept, "_id").dropDuplicates(["_id"]).select(*names)
+    found = cut(near.near_copies(docs), "near")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "text_key")).alias("x"))
+    kept = first.select(F.col("x.id").alias("_id"), F.col("x.text_key").alias("_key"))
+    docs = docs.withColumn("_text", near.text_key(F.col("text")))
+    # exact repeats of a row share its id and text
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))).dropDuplicates(["_id", "_key"]).select(*names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
