@@ -16,8 +16,9 @@ Equal lines are one line, by a 64-bit hash, before anything is compared (n disti
 collide with probability about n^2 / 2^65). Hot lines and bands are combined before the
 shuffle.
 
-Defined cases: null text has no lines; lines without a word take no part and stay; equal
-places (rows that repeat a doc_id) are kept or dropped together; a null id ranks first; an
+Defined cases: null text has no lines; lines without a word take no part and stay; rows
+that repeat id and text are kept or dropped together, rows that share an id (or have none) with
+different texts are rows of their own; a null id ranks first; an
 empty table gives an empty result; extra columns are not read.
 """
 
@@ -93,11 +94,16 @@ def _bands(shingles: Column) -> Column:
     return let(shingles, bands)
 
 
+def text_key(text: Column) -> Column:
+    """What rows of one text share; with the id it names a row, up to exact repeats."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def split_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, norm, line) of every line with a word; line: the hash that equal lines share."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    """(doc_id, text_key, line_no, norm, line) of every line with a word; line: the hash that equal lines share."""
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     rows = rows.withColumn("norm", F.lower(F.btrim("raw", F.lit(BLANKS)))).where(F.col("norm") != "")
-    return rows.select("doc_id", "line_no", "norm", F.xxhash64("norm").alias("line"))
+    return rows.select("doc_id", "text_key", "line_no", "norm", F.xxhash64("norm").alias("line"))
 
 
 def _only(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -193,27 +199,28 @@ def fuzzy_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, set
 
 
 def dedup_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, line_no, line, component, kept) of every line of (doc_id, text) with a word."""
+    """(doc_id, text_key, line_no, line, component, kept) of every line of (doc_id, text) with a word."""
     docs = docs.select("doc_id", "text")
     rows = split_lines(docs)
-    signed = rows.select("doc_id", "line_no", "line", let(_shingles(F.col("norm")), lambda s: F.struct(F.size(s).alias("n"), _bands(s).alias("bands"))).alias("s"))
-    lines = cut(signed.select("doc_id", "line_no", "line", "s.n", "s.bands"), "lines")
+    place = ["doc_id", "line_no", "text_key"]
+    signed = rows.select(*place, "line", let(_shingles(F.col("norm")), lambda s: F.struct(F.size(s).alias("n"), _bands(s).alias("bands"))).alias("s"))
+    lines = cut(signed.select(*place, "line", "s.n", "s.bands"), "lines")
     found = cut(components(cut(fuzzy_links(docs, lines, similar), "links"), "a", "b"), "line-components")
-    places = lines.select("doc_id", "line_no", "line")
+    places = lines.select(*place, "line")
     few = found.count() <= FEW
     named = places.join((F.broadcast if few else lambda x: x)(found.withColumnRenamed("node", "line")), "line", "left")
     named = named.withColumn("component", F.coalesce("component", "line"))
     # places as one sortable value: ids may be null
-    first = named.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first")
+    first = named.groupBy("component").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first")
     out = named.join(first, "component", "left")
-    return out.select("doc_id", "line_no", "line", "component", F.coalesce(F.struct("doc_id", "line_no") == F.col("first"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_key", "line_no", "line", "component", F.coalesce(F.struct(*place) == F.col("first"), F.lit(True)).alias("kept"))
 
 
 def drop_lines(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """docs without their dropped lines; documents that lose every line with a word go."""
     names = docs.columns
-    gone = judged.where("not kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    gone = judged.where("not kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key")), "left")
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     rest = F.array_join(F.transform(F.filter(lines, lambda x: ~F.array_contains("_gone", x["i"])), lambda x: x["x"]), "\n")
     out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest))

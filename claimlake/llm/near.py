@@ -4,7 +4,7 @@ Two texts are near copies if the sets of their shingles (WORDS words, A-Z lower-
 the six ASCII blanks; a shorter text is one shingle) have a Jaccard of SIMILAR or more. Texts
 meet where RUN neighbours of their KEPT smallest shingle hashes agree (of two, in texts of up
 to TEN shingles), and are compared on their whole sets, as lines.fuzzy_links does for lines.
-At Jaccard 0.8 a pair of more than KEPT shingles meets in a band with a chance above 99.99 %.
+At Jaccard 0.8 a pair of up to KEPT shingles always meets, a larger one misses by 1 in 10^9 at most.
 
 Defined cases: texts of the same words are one text, also null, empty and blank ones; null ids
 are ordinary; an empty table gives an empty result; extra columns are not read.
@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlake.llm.lines import FEW, _only, fuzzy_links
+from claimlake.llm.lines import FEW, _only, fuzzy_links, text_key
 from claimlake.llm.text import small_batches
 from claimlake.operators.components import components
 from claimlake.scratch import cut
@@ -25,11 +25,6 @@ from claimlake.scratch import cut
 WORDS, SIMILAR, KEPT, RUN, TEN = 5, 0.8, 64, 3, 10
 
 
-def text_key(text: Column) -> Column:
-    """What rows of one text share; with the id it names a row, up to exact repeats."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def _digests(data: bytes) -> tuple[int, np.ndarray]:
     """(key of the words, sorted distinct shingle hashes) of a text's UTF-8 bytes."""
     from xxhash import xxh64_intdigest as digest

@@ -42,7 +42,7 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = cut(near.near_copies(docs), "near")
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "text_key")).alias("x"))
     kept = first.select(F.col("x.id").alias("_id"), F.col("x.text_key").alias("_key"))
-    docs = docs.withColumn("_text", near.text_key(F.col("text")))
+    docs = docs.withColumn("_text", lines.text_key(F.col("text")))
     # exact repeats of a row share its id and text
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))).dropDuplicates(["_id", "_key"]).select(*names)
 

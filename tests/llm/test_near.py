@@ -33,3 +33,15 @@ def test_near_copies(spark):
                 label = [low if x == high else x for x in label]
     want = {rows[k][0] for k in range(len(rows)) if label[k] == k}
     assert 40 < len(want) < len(rows) and got == want
+
+
+def test_rows_without_own_id(spark):
+    """Rows that share an id, or have none, keep their own lines and stay as rows."""
+    body = ["one quite ordinary sentence about ships", "the second row talks of winter in the hills", "some third thing on bread and its many kinds", "fourth and last, a word or two about glass"]
+    rows = [(1, "common line of all rows here\n" + body[0]), (None, "common line of all rows here\n" + body[1]), (None, body[2] + "\nanother line of that row, clean"), (7, body[3]), (7, "nothing like it: " + "violins and drums " * 3), (None, body[1])]
+    docs = spark.createDataFrame([(i, t, None, None, 1) for i, t in rows], empty(spark).schema)
+    now = corpus_pipeline.keep_first_lines(spark, docs, "")
+    got = sorted(r["text"] for r in now.collect())
+    assert body[2] + "\nanother line of that row, clean" in got and body[3] in got and len(got) == 6
+    assert sum(body[1] in t for t in got) == 1 and sum("common line" in t for t in got) == 1
+    assert sorted(r["text"] for r in corpus_pipeline.keep_one_of_group(spark, now, "").collect()) == got
