@@ -1,12 +1,12 @@
 """Personal data: four exact patterns, and terms that reveal what the patterns protect.
 
-One pass over whole texts finds the pattern spans and, next to each (NEAR words to either
-side), the terms that stand near a protected value; the same pass counts in how many
-documents every term of the corpus occurs. Values and terms travel as 64-bit hashes. From the
-counts, pointwise mutual information says how far a term gives a value away: PMI(t; e) against
-IC(e) = log(documents / documents with e), 1 when t never occurs without e. With at least
-SUPPORT documents behind the pair, a share of GENERALISE or more has the term's spans beside
-that value generalised, REMOVE or more removed. Texts without a protected value get no span.
+One pass over whole texts finds the protected values and, in every text with one, all terms
+outside the spans; the same pass counts in how many documents every term of the corpus occurs.
+Values and terms travel as 64-bit hashes. From the counts, pointwise mutual information says
+how far a term gives a value away: PMI(t; e) against IC(e) = log(documents / documents with e),
+1 when t never occurs without e. With at least SUPPORT documents behind the pair, a share of
+GENERALISE or more has every occurrence of the term in all texts generalised, REMOVE or more
+removed; a second pass finds the occurrences.
 
 Defined cases: null text is empty and has no span; repeated rows each get their row and count
 as documents; an empty table gives an empty result; a null id is kept; extra columns are not
@@ -16,9 +16,10 @@ read. redact() joins by id, so rows that share an id share their spans.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,11 @@ from claimlake.llm.text import chunks, small_batches
 from claimlake.scratch import cut
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR, SUPPORT, GENERALISE, REMOVE = 4, 3, 0.9, 0.98
+SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.98
 #: Distinct terms that a task counts before it sends them on.
 HELD = 200_000
+#: Bits of the filter of disclosing terms that tasks share.
+SIEVE = 1 << 23
 
 # Written so that no text takes more than linear time: a run of digits or of address
 # characters is tried once, from its start.
@@ -91,96 +94,80 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], near: int = NEAR) -> list[tuple[str, str, int, int]]:
-    """(value, term, start, end) of the terms within near words of a span, outside all spans."""
+def term_of(m: re.Match) -> str:
+    return m[0].lower()
+
+
+def values_of(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
+    """The protected values of a text: kind and normalised text of each span."""
+    return {f"{kind}:{re.sub(r'[ ().-]', '', text[a:b].lower()) if kind in ('card', 'phone') else text[a:b].lower()}" for kind, a, b in spans}
+
+
+def free_terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """Matches of the terms of the whole text that no span touches."""
     taken = sorted((a, b) for _, a, b in spans)
-    starts = [a for a, _ in taken]
-    reach = []  # greatest end of the spans up to each
-    for _, b in taken:
-        reach.append(max(b, reach[-1] if reach else 0))
-
-    def free(a: int, b: int) -> bool:
-        k = bisect_left(starts, b)
-        return not k or reach[k - 1] <= a
-
-    out = []
-    for kind, a, b in spans:
-        value = f"{kind}:{re.sub(r'[ ().-]', '', text[a:b].lower()) if kind in ('card', 'phone') else text[a:b].lower()}"
-        left, width = [], 64
-        while True:  # wider until enough words, or the text's start
-            low = max(0, a - width)
-            left = [m for m in TERM.finditer(text, low, a) if low == 0 or m.start() > low]
-            if len(left) >= near or low == 0 or width >= 1024:
-                break
-            width *= 2
-        right = []
-        for m in TERM.finditer(text, b, min(len(text), b + 1024)):
-            right.append(m)
-            if len(right) == near:
-                break
-        out += [(value, m[0].lower(), m.start(), m.end()) for m in left[-near:] + right if free(m.start(), m.end())]
-    return out
-
-
-def scan(docs: DataFrame, near: int = NEAR) -> DataFrame:
-    """One row a document, and rows (term, n) of terms counted by task; written once, read twice."""
-    small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, row long, base string, seen array<struct<value:long,term:long,start:int,stop:int>>, term long, n long"
-    fields = pa.struct([("value", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+    k, reach = 0, 0
+    for m in TERM.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():
+            reach = max(reach, taken[k][1])
+            k += 1
+        if reach <= m.start():
+            yield m
 
-    def run(batches):
-        from pyspark import TaskContext
-        from xxhash import xxh64_intdigest
 
-        def digest(s: str) -> int:
-            h = xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
-            return h - (1 << 64) if h >> 63 else h
+def digest(s: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    h = xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
-        row, counts = TaskContext.get().partitionId() << 40, Counter()
 
-        def flush(like):
+def scan(docs: DataFrame) -> DataFrame:
+    """For each row its values and, if it has any, its terms outside spans, as hashes; and rows
+    (term, n) of terms counted by task. Written once, read twice."""
+    small_batches(docs.sparkSession)
+    docs = docs.select("text")
+
+    def run(batches):
+        counts, longs = Counter(), pa.list_(pa.int64())
+        names = ["values", "terms", "term", "n"]
+
+        def flush():
             terms = list(counts)
             for k in range(0, len(terms), 50_000):
                 part = terms[k : k + 50_000]
-                none = [None] * len(part)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), like), pa.array(none, pa.int64()), pa.array(none, pa.string()), pa.array(none, pa.list_(fields)), pa.array([digest(t) for t in part], pa.int64()), pa.array([counts[t] for t in part], pa.int64())], names=["doc_id", "row", "base", "seen", "term", "n"])
+                none = pa.nulls(len(part), longs)
+                yield pa.RecordBatch.from_arrays([none, none, pa.array([digest(t) for t in part], pa.int64()), pa.array([counts[t] for t in part], pa.int64())], names=names)
             counts.clear()
 
-        like = None
         for b in batches:
-            like = b.column(0).type
-            base, seen, rows = [], [], []
-            for t in b.column(1):
+            values, terms = [], []
+            for t in b.column(0):
                 text = t.as_py() or ""
                 spans = base_spans(text)
-                base.append(joined(spans))
-                seen.append([dict(zip(("value", "term", "start", "stop"), (digest(v), digest(w), a, z), strict=True)) for v, w, a, z in contexts(text, spans, near)] if spans else None)
-                rows.append(row)
-                row += 1
+                values.append([digest(v) for v in values_of(text, spans)])
+                terms.append([digest(w) for w in {term_of(m) for m in free_terms(text, spans)}] if spans else [])
                 words: set[str] = set()
                 for part in chunks(text):
-                    words.update(TERM.findall(part.lower()))
-                counts.update(words)
+                    words.update(TERM.findall(part))
+                counts.update({w.lower() for w in words})
                 if len(counts) > HELD:
-                    yield from flush(like)
-            none = [None] * b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.int64()), pa.array(base, pa.string()), pa.array(seen, pa.list_(fields)), pa.array(none, pa.int64()), pa.array(none, pa.int64())], names=["doc_id", "row", "base", "seen", "term", "n"])
-        if like is not None:
-            yield from flush(like)
+                    yield from flush()
+            none = pa.nulls(b.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(values, longs), pa.array(terms, longs), none, none], names=names)
+        yield from flush()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "values array<long>, terms array<long>, term long, n long")
 
 
 def disclosing(scanned: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """(value, term, share): pairs whose PMI is at least generalise of the value's information."""
-    docs = scanned.where(F.col("row").isNotNull())
-    near = docs.where(F.col("seen").isNotNull()).select("row", F.explode("seen").alias("s"))
-    pairs = near.select("row", "s.value", "s.term").distinct()
+    docs = scanned.where(F.col("values").isNotNull())
+    held = docs.where(F.size("values") > 0).select("terms", F.explode("values").alias("value"))
+    values = cut(held.groupBy("value").agg(F.count("*").alias("of_value")).where(F.col("of_value") >= support), "values")
+    pairs = held.join(values.select("value"), "value").select("value", F.explode("terms").alias("term"))
     both = pairs.groupBy("value", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    values = pairs.select("row", "value").distinct().groupBy("value").agg(F.count("*").alias("of_value")).where(F.col("of_value") >= support)
-    terms = scanned.where(F.col("row").isNull()).groupBy("term").agg(F.sum("n").alias("of_term")).where(F.col("of_term") >= support)
+    terms = scanned.where(F.col("values").isNull()).groupBy("term").agg(F.sum("n").alias("of_term")).where(F.col("of_term") >= support)
     total = F.lit(float(docs.count()))
     info = F.ln(total / F.col("of_value"))
     # a value in every document holds no information: nothing can reveal more
@@ -188,14 +175,59 @@ def disclosing(scanned: DataFrame, support: int = SUPPORT, generalise: float = G
     return both.join(values, "value").join(terms, "term").select("value", "term", share.alias("share")).where(F.col("share") >= generalise)
 
 
-def find(docs: DataFrame, near: int = NEAR, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, row, base, seen) of each row; seen: every place outside spans of a term whose
+    hash may be in terms. SIEVE bits are shared, whatever the number of terms: joins decide."""
+    small_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    fields = pa.struct([("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+    bits = np.zeros(SIEVE // 8, dtype=np.uint8)
+    for r in terms.select(F.pmod("term", F.lit(SIEVE)).alias("k")).distinct().toLocalIterator():
+        bits[r["k"] >> 3] |= 1 << (r["k"] & 7)
+    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        row, sieve, known = TaskContext.get().partitionId() << 40, shared.value, {}
+
+        def wanted(word: str) -> int | None:
+            h = digest(word.lower())
+            k = h % SIEVE
+            if len(known) > HELD:
+                known.clear()
+            known[word] = h if sieve[k >> 3] >> (k & 7) & 1 else None
+            return known[word]
+
+        for b in batches:
+            base, seen, rows = [], [], []
+            for t in b.column(1):
+                text = t.as_py() or ""
+                spans = base_spans(text)
+                base.append(joined(spans))
+                places = []
+                for m in free_terms(text, spans):
+                    w = m[0]
+                    h = known[w] if w in known else wanted(w)
+                    if h is not None:
+                        places.append({"term": h, "start": m.start(), "stop": m.end()})
+                seen.append(places)
+                rows.append(row)
+                row += 1
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.int64()), pa.array(base, pa.string()), pa.array(seen, pa.list_(fields))], names=["doc_id", "row", "base", "seen"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, row long, base string, seen array<struct<term:long,start:int,stop:int>>")
+
+
+def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(doc_id, base, spans): pattern spans, and all spans, as kind:start:end joined by commas."""
-    scanned = cut(scan(docs, near), "pii")
-    rows = scanned.where(F.col("row").isNotNull())
-    flagged = cut(disclosing(scanned, support, generalise), "disclosing")
-    near_rows = rows.where(F.col("seen").isNotNull()).select("row", F.explode("seen").alias("s")).select("row", "s.*")
+    flagged = disclosing(cut(scan(docs), "pii"), support, generalise)
+    # a term is as telling as for the value that it gives away most
+    flagged = cut(flagged.groupBy("term").agg(F.max("share").alias("share")), "disclosing")
+    rows = cut(occurrences(docs, flagged), "occurrences")
     kinds = F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
-    hits = near_rows.join(flagged, ["value", "term"]).groupBy("row", "start", "stop").agg(F.max("share").alias("share"))
+    hits = rows.where(F.size("seen") > 0).select("row", F.explode("seen").alias("s")).select("row", "s.*").join(flagged, "term")
     spans = F.array_sort(F.collect_list(F.struct(kinds.alias("kind"), "start", "stop")))
     added = hits.groupBy("row").agg(spans.alias("a")).select("row", F.array_join(F.transform("a", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",").alias("added"))
     found = rows.select("doc_id", "row", "base").join(added, "row", "left")
