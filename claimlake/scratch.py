@@ -10,6 +10,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,19 +35,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/claimlake-{uuid.uuid4().hex}-{name}"
 
 
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df as Parquet to the shared folder and return a scan of it."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
 
 
 def drop(df: DataFrame) -> None:
-    """Delete the files of a table that cut() wrote and nobody will read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/claimlake-" in f:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the files of a table that cut() returned and nobody will read again."""
+    if found := _paths.pop(df, None):
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
