@@ -1,12 +1,11 @@
-"""Fuzzy line dedup by MinHash, in DataFrame operations.
+"""Fuzzy line dedup by MinHash: signatures and exact Jaccard in numpy, all joins in DataFrame operations.
 
-Lines are lower-cased and trimmed. A line's shingles are the runs of CHARS characters at
-every position (a shorter line is one shingle), hashed to 64 bits and sorted: the smallest
-KEPT values are the signature. Bands are runs of RUN neighbouring values of the signature (of
-two, in lines of up to TEN shingles; lines of one shingle are their own band). Similar lines
-miss a run only if every run meets a shingle that they don't share: at Jaccard 0.8 about 98 %
-of pairs meet in a band, at 0.9 nearly all; lines that meet nowhere directly can still be
-joined through a third one.
+Lines are trimmed, lower-cased and each run of blanks in them is one blank. A line's shingles
+are the runs of CHARS characters at every position (a shorter line is one shingle). Its
+signature has BANDS bands of WIDTH values (shingles.signatures); lines of up to TINY shingles
+have one band, as only equal sets of that size are similar. Two lines of Jaccard 0.8 meet in a
+band with a chance of 1 - (1 - 0.8^4)^9 = 99.1 %, at 0.9 with 99.98 %; lines that meet nowhere
+directly can still be joined through a third one. Bands of all sizes are treated alike.
 
 Lines of a band are compared by the exact Jaccard of their whole shingle sets: with leaders
 first, then in pairs those that no link joins yet (see fuzzy_links). The verified links go to
@@ -14,7 +13,8 @@ the distributed union-find, and the first place (doc_id, line number) of a compo
 
 Equal lines are one line, by a 64-bit hash, before anything is compared (n distinct lines
 collide with probability about n^2 / 2^65). Hot lines and bands are combined before the
-shuffle.
+shuffle. The text of the few lines that share a band is read from docs a second time rather
+than kept, so nothing of the size of the shingle sets is written or shuffled.
 
 Defined cases: null text has no lines; lines without a word take no part and stay; rows
 that repeat id and text are kept or dropped together, rows that share an id (or have none) with
@@ -26,84 +26,133 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlake.llm.quality import let
+from claimlake.llm import shingles
+from claimlake.llm.text import small_batches
 from claimlake.operators.components import components
-from claimlake.scratch import cut
+from claimlake.scratch import cut, drop
 
-CHARS, KEPT, RUN, TEN, SIMILAR = 8, 12, 3, 10, 0.8
+SIMILAR, BANDS, WIDTH, TINY = 0.8, 9, 4, 3
 #: Times that a band's lines meet a leader before what is left meets in pairs.
 ROUNDS = 2
 #: Lines of a band (linked ones count too) that meet in pairs; those of larger bands meet by
-#: their rarest shingles.
+#: their rarest shingles, which loses no pair either.
 GROUP = 32
 #: Rows of two longs that are broadcast, at most; larger tables are joined by shuffling.
-FEW = 500_000
-#: Positions of a long line that are read as one piece.
-PIECE = 256
+FEW = 100_000
+#: Bits of the filter of wanted lines that tasks share, whatever the number of lines: joins decide.
+SIEVE = 1 << 26
 BLANKS = " \t\r\x0b\x0c"
 
+Sets = Callable[[list[bytes]], np.ndarray]
 
-def _shingles(norm: Column) -> Column:
-    """Sorted distinct hashes of the runs of CHARS characters at every position of a normalised
-    line, each run of blanks one blank; a shorter line is one shingle."""
-    odd = F.contains(norm, F.lit("  "))
-    for blank in BLANKS[1:]:
-        odd = odd | F.contains(norm, F.lit(blank))
-    flat = F.when(odd, F.regexp_replace(norm, r"[\x20\x09-\x0D]+", " ")).otherwise(norm)
 
-    def starts(n: Column, step: int) -> Column:
-        return F.sequence(F.lit(0), F.greatest(n - CHARS, F.lit(0)), F.lit(step))
+def flat_lines(text: str) -> list[tuple[int, str]]:
+    """(number, normalised line) of every line with a word."""
+    found = []
+    for k, x in enumerate(text.lower().split("\n")):
+        x = x.strip(BLANKS)
+        if x:
+            if any(b in x for b in BLANKS[1:]):
+                x = x.translate({ord(b): " " for b in BLANKS})
+            while "  " in x:
+                x = x.replace("  ", " ")
+            found.append((k, x))
+    return found
 
-    def pieces(text: Column, size: int) -> Column:
-        # substring walks from the start of its text: pieces keep long lines from taking square time
-        return F.transform(starts(F.length(text), size), lambda i: F.substring(text, i + 1, F.lit(size + CHARS - 1)))
 
-    def hashes(text: Column) -> Column:
-        return F.transform(starts(F.length(text), 1), lambda i: F.xxhash64(F.substring(text, i + 1, F.lit(CHARS))))
+def text_key(text: Column) -> Column:
+    """What rows of one text share; with the id it names a row, up to exact repeats."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    def cut_up(text: Column) -> Column:
-        short = F.length(text) <= PIECE
-        blocks = F.flatten(F.transform(pieces(text, PIECE * PIECE), lambda t: pieces(t, PIECE)))
-        return F.when(short, hashes(text)).otherwise(F.flatten(F.transform(blocks, hashes)))
 
-    return F.sort_array(F.array_distinct(let(flat, cut_up)))
+def line_sets(texts: list[bytes]) -> np.ndarray:
+    return shingles.char_sets([t.decode("utf-8", "surrogatepass") for t in texts])
 
 
-def _runs(s: Column, n: int) -> Column:
-    """Hashes of the runs of n neighbours in an array."""
-    return F.transform(F.sequence(F.lit(0), F.size(s) - n), lambda i: F.xxhash64(F.lit(n), *(F.get(s, i + k) for k in range(n))))
+def _digests(flat: list[str]) -> np.ndarray:
+    from xxhash import xxh64_intdigest as digest
 
+    return np.fromiter((digest(x.encode("utf-8", "surrogatepass")) for x in flat), np.uint64, len(flat))
 
-def _bands(shingles: Column) -> Column:
-    """Hashes of the runs in the signature of a sorted shingle array."""
 
-    def bands(all_: Column) -> Column:
-        none = F.array().cast("array<bigint>")
-        size = F.size(all_)
+def band_lists(parts: list[tuple[np.ndarray, np.ndarray]], tiny: int) -> tuple[np.ndarray, pa.ListArray]:
+    """(sizes of the sets, their bands): one band where a set has tiny shingles at most."""
+    if not parts:
+        return np.zeros(0, dtype=np.int32), pa.array([], pa.list_(pa.int64()))
+    bands, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    use = np.ones(bands.shape, dtype=bool)
+    use[n <= tiny, 1:] = False
+    ends = np.concatenate([[0], np.cumsum(use.sum(axis=1))]).astype(np.int32)
+    return n.astype(np.int32), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[use]))
 
-        def of(s: Column) -> Column:
-            two = F.when((size >= 2) & (size <= TEN), _runs(s, 2)).otherwise(none)
-            three = F.when(size > TEN - 3, _runs(s, RUN)).otherwise(none)
-            return F.when(size == 1, all_).otherwise(F.concat(two, three))
 
-        return let(F.slice(all_, 1, KEPT), of)
+def signed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, line_no, line, n, bands) of every line with a word. line: the hash
+    that equal lines share; n: its shingles."""
+    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    return let(shingles, bands)
+    def run(batches):
+        for b in batches:
+            row, number, flat = [], [], []
+            for k, t in enumerate(b.column(2)):
+                for i, x in flat_lines(t.as_py() or ""):
+                    row.append(k)
+                    number.append(i)
+                    flat.append(x)
+            parts = [shingles.signatures(shingles.char_sets(flat[s]), s.stop - s.start, BANDS, WIDTH) for s in shingles.groups([len(x) for x in flat])]
+            n, bands = band_lists(parts, TINY)
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(number, pa.int32()), pa.array(_digests(flat).view(np.int64)), pa.array(n), bands], names=["doc_id", "text_key", "line_no", "line", "n", "bands"])
 
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, line_no int, line long, n int, bands array<long>")
+
+
+def sieve(keys: DataFrame, name: str) -> bytes:
+    """One bit of SIEVE for each key (long); its size doesn't follow the number of keys."""
+    at = F.pmod(F.col(name), F.lit(SIEVE)) + 1
+    made = keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    bits = np.zeros(SIEVE // 8, dtype=np.uint8)
+    for r in made.toLocalIterator():
+        part = np.frombuffer(r["bits"], dtype=np.uint8)
+        bits[(r["bucket"] - 1) * len(part) : r["bucket"] * len(part)] = part
+    return bits.tobytes()
+
+
+def held(bits: bytes, keys: np.ndarray) -> np.ndarray:
+    """Whether each key (unsigned 64 bits) may be in the sieve."""
+    at = (keys & np.uint64(SIEVE - 1)).astype(np.int64)
+    return (np.frombuffer(bits, dtype=np.uint8)[at >> 3] >> (at & 7) & 1).astype(bool)
 
-def text_key(text: Column) -> Column:
-    """What rows of one text share; with the id it names a row, up to exact repeats."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
 
+def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line, text) of the wanted lines, text in UTF-8; docs is read again, with a filter that tasks share."""
+    small_batches(docs.sparkSession)
+    bits = docs.sparkSession.sparkContext.broadcast(sieve(wanted, "line"))
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line_no, norm, line) of every line with a word; line: the hash that equal lines share."""
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    rows = rows.withColumn("norm", F.lower(F.btrim("raw", F.lit(BLANKS)))).where(F.col("norm") != "")
-    return rows.select("doc_id", "text_key", "line_no", "norm", F.xxhash64("norm").alias("line"))
+    def run(batches):
+        for b in batches:
+            found: dict[int, str] = {}
+            for t in b.column(0):
+                flat = [x for _, x in flat_lines(t.as_py() or "")]
+                keys = _digests(flat)
+                for k in np.flatnonzero(held(bits.value, keys)).tolist():
+                    found.setdefault(int(keys[k]), flat[k])
+            keys = np.fromiter(found, np.uint64, len(found)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x.encode("utf-8", "surrogatepass") for x in found.values()], pa.binary())], names=["line", "text"])
+
+    return one_text(docs.select("text").mapInArrow(run, "line long, text binary"), wanted)
+
+
+def one_text(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line, text) for each wanted line, of rows that may repeat or hold others."""
+    return _only(found, wanted, "line").groupBy("line").agg(F.first("text").alias("text"))
 
 
 def _only(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -111,13 +160,19 @@ def _only(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, on)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, similar: float, sets: Sets) -> DataFrame:
     """pairs (a, b) with alike: whether the Jaccard of their shingle sets reaches similar."""
-    one = sets.select(F.col("line").alias("a"), F.col("shingles").alias("_x"))
-    two = sets.select(F.col("line").alias("b"), F.col("shingles").alias("_y"))
-    found = pairs.join(one, "a").join(two, "b")
-    both = F.size(F.array_intersect("_x", "_y"))
-    return found.select("a", "b", (both >= similar * (F.size("_x") + F.size("_y") - both)).alias("alike"))
+    one = texts.select(F.col("line").alias("a"), F.col("text").alias("x"))
+    two = texts.select(F.col("line").alias("b"), F.col("text").alias("y"))
+    found = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y")
+
+    def run(batches):
+        for b in batches:
+            parts = list(shingles.jaccard(b.column(2).to_pylist(), b.column(3).to_pylist(), sets))
+            both, x, y = np.concatenate([*parts, np.zeros((0, 3), dtype=np.int64)]).T
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both >= similar * (x + y - both))], names=["a", "b", "alike"])
+
+    return found.mapInArrow(run, "a long, b long, alike boolean")
 
 
 def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -129,12 +184,21 @@ def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
     return members.join(few(found.select(F.col("node").alias("line"), F.col("component").alias("label"))), "line", "left").withColumn("label", F.coalesce("label", "line"))
 
 
-def _rarest(many: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+def _rarest(many: DataFrame, texts: DataFrame, similar: float, sets: Sets) -> DataFrame:
     """(line, n, label, key): for each line of many the first n - ceil(similar * n) + 1 of its
     shingles, rarest first, without those that no other line has. Two lines as similar as that
     share one of them at least, so no pair is lost; a frequent passage comes last.
     """
-    all_ = cut(many.join(sets, "line").select("line", "n", "label", F.explode("shingles").alias("key")), "rare")
+
+    def run(batches):
+        for b in batches:
+            own = b.column(3).to_pylist()
+            for s in shingles.groups([len(x) for x in own]):
+                keys = sets(own[s])
+                at = pa.array((keys >> np.uint64(shingles.BITS)).astype(np.int64) + s.start)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), pa.array((keys << np.uint64(64 - shingles.BITS)).view(np.int64))], names=["line", "n", "label", "key"])
+
+    all_ = cut(many.join(texts, "line").select("line", "n", "label", "text").mapInArrow(run, "line long, n int, label long, key long"), "rare")
     often = cut(all_.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1"), "often")
     shared = all_.join(F.broadcast(often) if often.count() <= FEW else often, "key")
     own = shared.groupBy("line").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.array_sort(F.collect_list(F.struct("lines", "key"))).alias("ranked"))
@@ -143,19 +207,11 @@ def _rarest(many: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return own.select("line", "n", "label", F.explode(F.slice("ranked", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("x")).select("line", "n", "label", "x.key")
 
 
-def _sets(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, shingles) of the wanted lines only, each from its first place; ids may be null."""
-    first = _only(lines.select("line", "doc_id", "line_no"), wanted, "line").groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-    first = cut(first.select(F.col("line").alias("_line"), F.col("at.doc_id").alias("_id"), F.col("at.line_no").alias("_no")), "first")
-    same = (F.col("line") == F.col("_line")) & (F.col("line_no") == F.col("_no")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    text = split_lines(docs).join(F.broadcast(first) if first.count() <= FEW else first, same)
-    return text.dropDuplicates(["line"]).select("line", _shingles(F.col("norm")).alias("shingles"))
-
-
-def fuzzy_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, sets_of: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = _sets) -> DataFrame:
+def fuzzy_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, texts_of: Callable[[DataFrame, DataFrame], DataFrame] = line_texts, sets: Sets = line_sets) -> DataFrame:
     """(a, b): verified links between distinct lines; lines that share a band and are similar
-    end in one component. lines: split_lines() with bands and n (shingles), written. sets_of
-    gives the whole shingle sets of the lines that may have a partner.
+    end in one component. lines: (line, n, bands) with n the shingles of a line, written; a line
+    may repeat. texts_of(docs, wanted) gives the texts of the lines that share a band, sets the
+    shingle sets of texts.
 
     ROUNDS rounds compare the lines of a band with a leader drawn by hash, except those that
     links already join to it, so a band of many copies costs one comparison each. What then is
@@ -163,11 +219,15 @@ def fuzzy_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, set
     of such bands that share one of their rarest shingles instead, which no pair similar enough
     can avoid. Sizes that differ too much for the similarity are never compared.
     """
+    small_batches(docs.sparkSession)
     banded = lines.select("line", "n", F.explode("bands").alias("band"))
-    groups = cut(banded.groupBy("band").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo < hi").select("band"), "bands")
+    # half of a line's hash tells the lines of a band apart: two that agree in it are missed in 1 of 2^32 bands
+    half = F.shiftright("line", 32).cast("int")
+    groups = cut(banded.groupBy("band").agg(F.min(half).alias("lo"), F.max(half).alias("hi")).where("lo < hi").select("band"), "bands")
     members = cut(_only(banded, groups, "band").distinct(), "members")
+    drop(groups)
     wanted = cut(members.select("line").distinct(), "wanted")
-    sets = cut(sets_of(docs, lines, wanted), "sets")
+    texts = cut(texts_of(docs, wanted), "texts")
 
     def could(n: str, m: str) -> Column:
         return F.least(n, m) >= similar * F.greatest(n, m)
@@ -180,40 +240,41 @@ def fuzzy_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, set
         met = named.join(open_, "band").where((F.col("label") != F.col("ll")) & could("n", "ln"))
         pairs = met.select(F.least("line", "l").alias("a"), F.greatest("line", "l").alias("b")).distinct()
         pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti") if judged is not None else pairs
-        now = cut(_verify(pairs, sets, similar), "judged")
+        now = cut(_verify(pairs, texts, similar, sets), "judged")
         judged = now if judged is None else cut(judged.unionAll(now), "judged")
     named = cut(_labelled(members, judged.where("alike")), "named")
+    drop(members)
     open_ = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("band", "m")
     left = cut(named.join(open_, "band"), "open")
+    drop(named)
     few = left.where(F.col("m") <= GROUP).select("line", "n", "label", F.col("band").alias("key"))
     # a large band holds lines that share a passage: they meet by their rarest shingles
     many = left.where(F.col("m") > GROUP).select("line", "n", "label").distinct()
-    keyed = cut(few.unionAll(_rarest(many, sets, similar)), "keyed")
+    keyed = cut(few.unionAll(_rarest(many, texts, similar, sets)), "keyed")
     apart = cut(keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "apart")
     met = cut(_only(keyed, apart, "key"), "close")
     x, y = (met.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("line", "n", "label"))) for k in "ab")
     pairs = x.join(y, "key").where((F.col("line_a") < F.col("line_b")) & (F.col("label_a") != F.col("label_b")) & could("n_a", "n_b"))
-    pairs = cut(pairs.select(F.col("line_a").alias("a"), F.col("line_b").alias("b")).distinct(), "pairs")
-    rest = _verify(pairs, sets, similar).where("alike")
+    pairs = pairs.select(F.col("line_a").alias("a"), F.col("line_b").alias("b")).distinct()
+    pairs = cut(pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    rest = _verify(pairs, texts, similar, sets).where("alike")
     return judged.where("alike").select("a", "b").unionAll(rest.select("a", "b"))
 
 
 def dedup_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, text_key, line_no, line, component, kept) of every line of (doc_id, text) with a word."""
     docs = docs.select("doc_id", "text")
-    rows = split_lines(docs)
     place = ["doc_id", "line_no", "text_key"]
-    signed = rows.select(*place, "line", let(_shingles(F.col("norm")), lambda s: F.struct(F.size(s).alias("n"), _bands(s).alias("bands"))).alias("s"))
-    lines = cut(signed.select(*place, "line", "s.n", "s.bands"), "lines")
-    found = cut(components(cut(fuzzy_links(docs, lines, similar), "links"), "a", "b"), "line-components")
-    places = lines.select(*place, "line")
-    few = found.count() <= FEW
-    named = places.join((F.broadcast if few else lambda x: x)(found.withColumnRenamed("node", "line")), "line", "left")
-    named = named.withColumn("component", F.coalesce("component", "line"))
-    # places as one sortable value: ids may be null
-    first = named.groupBy("component").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first")
-    out = named.join(first, "component", "left")
-    return out.select("doc_id", "text_key", "line_no", "line", "component", F.coalesce(F.struct(*place) == F.col("first"), F.lit(True)).alias("kept"))
+    lines = cut(signed_lines(docs), "lines")
+    links = cut(fuzzy_links(docs, lines, similar), "links")
+    found = cut(components(links, "a", "b"), "line-components")
+    # first places by line, then by component: written, so that both sides of each join are plain exchanges and hot keys can be split
+    firsts = lines.groupBy("line").agg(F.min(F.struct(*place)).alias("at")).withColumnRenamed("line", "node")
+    named = cut(firsts.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "at"), "firsts")
+    best = cut(named.join(found.select("node"), "node", "left_semi").groupBy("component").agg(F.min("at").alias("first")), "first")
+    named = cut(named.join(best, "component", "left").select(F.col("node").alias("line"), "component", F.coalesce("first", "at").alias("first")), "placed")
+    out = lines.select(*place, "line").join(named, "line")
+    return out.select("doc_id", "text_key", "line_no", "line", "component", (F.struct(*place) == F.col("first")).alias("kept"))
 
 
 def drop_lines(docs: DataFrame, judged: DataFrame) -> DataFrame:

@@ -2,9 +2,8 @@
 
 Two texts are near copies if the sets of their shingles (WORDS words, A-Z lower-cased, split at
 the six ASCII blanks; a shorter text is one shingle) have a Jaccard of SIMILAR or more. Texts
-meet where RUN neighbours of their KEPT smallest shingle hashes agree (of two, in texts of up
-to TEN shingles), and are compared on their whole sets, as lines.fuzzy_links does for lines.
-At Jaccard 0.8 a pair of up to KEPT shingles always meets, a larger one misses by 1 in 10^9 at most.
+meet in bands of their signatures and are compared on their whole sets, as lines.fuzzy_links
+does for lines. At Jaccard 0.8 a pair meets with a chance of 1 - (1 - 0.8^4)^16 = 99.98 %.
 
 Defined cases: texts of the same words are one text, also null, empty and blank ones; null ids
 are ordinary; an empty table gives an empty result; extra columns are not read.
@@ -17,84 +16,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlake.llm.lines import FEW, _only, fuzzy_links, text_key
+from claimlake.llm import shingles
+from claimlake.llm.lines import FEW, band_lists, fuzzy_links, held, one_text, sieve, text_key
 from claimlake.llm.text import small_batches
 from claimlake.operators.components import components
 from claimlake.scratch import cut
 
-WORDS, SIMILAR, KEPT, RUN, TEN = 5, 0.8, 64, 3, 10
+SIMILAR, BANDS, WIDTH, TINY = 0.8, 16, 4, 3
 
 
-def _digests(data: bytes) -> tuple[int, np.ndarray]:
-    """(key of the words, sorted distinct shingle hashes) of a text's UTF-8 bytes."""
-    from xxhash import xxh64_intdigest as digest
+def _words(data: bytes) -> bytes:
+    return b" ".join(data.lower().split())
 
-    words = data.lower().split()
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    starts = np.cumsum(sizes) - sizes
-    n = max(len(words) - WORDS + 1, min(len(words), 1))
-    ends = (starts + sizes - 1)[WORDS - 1 :] if len(words) >= WORDS else np.full(n, len(joined))
-    h = np.fromiter((digest(joined[a:b]) for a, b in zip(starts[:n].tolist(), ends.tolist(), strict=True)), np.uint64, n)
-    return digest(joined, 1), np.unique(h.view(np.int64))
 
+def _digest(words: list[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest as digest
 
-def _runs(s: np.ndarray, n: int) -> list[int]:
-    with np.errstate(over="ignore"):
-        x = np.full(max(len(s) - n + 1, 0), n, dtype=np.uint64)
-        for k in range(n):
-            x = (x ^ s[k : len(s) - n + 1 + k].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            x ^= x >> np.uint64(29)
-    return x.view(np.int64).tolist()
+    return np.fromiter((digest(w, 1) for w in words), np.uint64, len(words))
 
 
-def _bands(s: np.ndarray) -> list[int]:
-    if len(s) == 1:
-        return s.tolist()
-    two = _runs(s, 2) if len(s) <= TEN else []
-    return two + (_runs(s[:KEPT], RUN) if len(s) > TEN - 3 else [])
+def _bytes(docs: DataFrame):
+    return F.coalesce("text", F.lit("")).cast("binary").alias("text")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line, n, bands) of each row; line: the key that texts of the same words share."""
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), _bytes(docs))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            key, n, bands = [], [], []
-            for t in b.column(2):
-                k, s = _digests(t.as_py())
-                key.append(k)
-                n.append(len(s))
-                bands.append(_bands(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key, pa.uint64()).view(pa.int64()), pa.array(n, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_key", "line", "n", "bands"])
+            words = [_words(t.as_py()) for t in b.column(2)]
+            parts = [shingles.signatures(shingles.word_sets(words[s]), s.stop - s.start, BANDS, WIDTH) for s in shingles.groups([len(x) for x in words])]
+            n, bands = band_lists(parts, TINY)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_digest(words).view(np.int64)), pa.array(n), bands], names=["doc_id", "text_key", "line", "n", "bands"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, text_key long, line long, n int, bands array<long>")
 
 
-def _sets(docs: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, shingles) of the wanted texts, each from one of its spellings."""
-    first = cut(_only(signed.select("line", "text_key"), wanted, "line").groupBy("line").agg(F.min("text_key").alias("text_key")).select("text_key"), "spellings")
-    rows = docs.select(text_key(F.col("text")).alias("text_key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    rows = rows.join(F.broadcast(first) if first.count() <= FEW else first, "text_key").select("text")
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line, text) of the wanted texts, as words split by single blanks."""
+    bits = docs.sparkSession.sparkContext.broadcast(sieve(wanted, "line"))
 
     def run(batches):
         for b in batches:
-            got = [_digests(t.as_py()) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.uint64()).view(pa.int64()), pa.array([s.tolist() for _, s in got], pa.list_(pa.int64()))], names=["line", "shingles"])
+            words = [_words(t.as_py()) for t in b.column(0)]
+            keys = _digest(words)
+            own = np.flatnonzero(held(bits.value, keys)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(keys[own].view(np.int64)), pa.array([words[k] for k in own], pa.binary())], names=["line", "text"])
 
-    return rows.mapInArrow(run, "line long, shingles array<long>").dropDuplicates(["line"])
+    return one_text(docs.select(_bytes(docs)).mapInArrow(run, "line long, text binary"), wanted)
 
 
 def near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, text_key, component) of each row of (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     signed = cut(signatures(docs), "signatures")
-    # texts of the same words meet as one
-    texts = cut(signed.select("line", "n", "bands").dropDuplicates(["line"]), "texts")
-    links = cut(fuzzy_links(docs, texts, similar, lambda d, _, wanted: _sets(d, signed, wanted)), "links")
+    links = cut(fuzzy_links(docs, signed, similar, _texts, shingles.word_sets), "links")
     found = cut(components(links, "a", "b"), "components")
     few = F.broadcast if found.count() <= FEW else lambda x: x
     named = signed.select("doc_id", "text_key", "line").join(few(found.withColumnRenamed("node", "line")), "line", "left")

@@ -74,7 +74,7 @@ def test_large_bands(spark, monkeypatch):
     size = {k: len(all_shingles(t)) for k, t in enumerate(texts)}
     docs = spark.createDataFrame([(k, t, None, None, 1) for k, t in enumerate(texts)], empty(spark).schema)
     # every line in one band: whatever is linked doesn't hang on the signature
-    rows = lines.split_lines(docs).select("doc_id", "line_no", "line")
+    rows = lines.signed_lines(docs).select("doc_id", "line_no", "line")
     rows = rows.join(spark.createDataFrame(list(size.items()), "doc_id long, n int"), "doc_id").withColumn("bands", F.array(F.lit(1).cast("long"))).cache()
     ids = {r["line"]: r["doc_id"] for r in rows.collect()}
     monkeypatch.setattr(lines, "ROUNDS", 1)
