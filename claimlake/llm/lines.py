@@ -8,8 +8,8 @@ band with a chance of 1 - (1 - 0.8^4)^9 = 99.1 %, at 0.9 with 99.98 %; lines tha
 directly can still be joined through a third one. Bands of all sizes are treated alike.
 
 Lines of a band are compared by the exact Jaccard of their whole shingle sets: with leaders
-first, then in pairs those that no link joins yet (see fuzzy_links). The verified links go to
-the distributed union-find, and the first place (doc_id, line number) of a component is kept.
+first, then in pairs those that no link joins yet (see fuzzy_labels). The verified links go to
+the distributed union-find round by round, and the first place (doc_id, line number) of a component is kept.
 
 Equal lines are one line, by a 64-bit hash, before anything is compared (n distinct lines
 collide with probability about n^2 / 2^65). Hot lines and bands are combined before the
@@ -44,25 +44,23 @@ ROUNDS = 2
 GROUP = 32
 #: Rows of two longs that are broadcast, at most; larger tables are joined by shuffling.
 FEW = 100_000
-#: Bits of the filter of wanted lines that tasks share, whatever the number of lines: joins decide.
-SIEVE = 1 << 26
+#: Bits of the filters that tasks share, whatever the number of lines or bands: what they let
+#: through by chance costs time, not results.
+SIEVE = 1 << 27
 BLANKS = " \t\r\x0b\x0c"
+_BLANK = dict.fromkeys(map(ord, BLANKS), " ")
 
 Sets = Callable[[list[bytes]], np.ndarray]
 
 
 def flat_lines(text: str) -> list[tuple[int, str]]:
     """(number, normalised line) of every line with a word."""
-    found = []
-    for k, x in enumerate(text.lower().split("\n")):
-        x = x.strip(BLANKS)
-        if x:
-            if any(b in x for b in BLANKS[1:]):
-                x = x.translate({ord(b): " " for b in BLANKS})
-            while "  " in x:
-                x = x.replace("  ", " ")
-            found.append((k, x))
-    return found
+    text = text.lower()
+    if any(b in text for b in BLANKS[1:]):
+        text = text.translate(_BLANK)
+    if "  " in text:
+        return [(k, " ".join(filter(None, x.split(" ")))) for k, x in enumerate(text.split("\n")) if x.strip(" ")]
+    return [(k, x.strip(" ")) for k, x in enumerate(text.split("\n")) if x and x != " "]
 
 
 def text_key(text: Column) -> Column:
@@ -119,7 +117,7 @@ def sieve(keys: DataFrame, name: str) -> bytes:
     at = F.pmod(F.col(name), F.lit(SIEVE)) + 1
     made = keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     bits = np.zeros(SIEVE // 8, dtype=np.uint8)
-    for r in made.toLocalIterator():
+    for r in made.collect():  # SIEVE bits at most
         part = np.frombuffer(r["bits"], dtype=np.uint8)
         bits[(r["bucket"] - 1) * len(part) : r["bucket"] * len(part)] = part
     return bits.tobytes()
@@ -160,34 +158,36 @@ def _only(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, on)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, similar: float, sets: Sets) -> DataFrame:
-    """pairs (a, b) with alike: whether the Jaccard of their shingle sets reaches similar."""
+def _alike(pairs: DataFrame, texts: DataFrame, similar: float, sets: Sets) -> DataFrame:
+    """(la, lb), distinct, of the pairs (a, b, la, lb) whose shingle sets have a Jaccard of similar."""
     one = texts.select(F.col("line").alias("a"), F.col("text").alias("x"))
     two = texts.select(F.col("line").alias("b"), F.col("text").alias("y"))
-    found = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y")
+    found = pairs.join(one, "a").join(two, "b").select("la", "lb", "x", "y")
 
     def run(batches):
         for b in batches:
             parts = list(shingles.jaccard(b.column(2).to_pylist(), b.column(3).to_pylist(), sets))
             both, x, y = np.concatenate([*parts, np.zeros((0, 3), dtype=np.int64)]).T
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both >= similar * (x + y - both))], names=["a", "b", "alike"])
+            yield pa.record_batch([b.column(0), b.column(1)], names=["la", "lb"]).filter(pa.array(both >= similar * (x + y - both)))
 
-    return found.mapInArrow(run, "a long, b long, alike boolean")
+    return found.mapInArrow(run, "la long, lb long").distinct()
 
 
-def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """members with label: lines with one label are joined by links; without links, each line itself."""
-    if links is None:
-        return members.withColumn("label", F.col("line"))
-    found = cut(components(links, "a", "b"), "labels")
+def _joined(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members, written, with the labels that links (la, lb) between labels leave."""
+    found = cut(components(links, "la", "lb"), "labels")
     few = F.broadcast if found.count() <= FEW else lambda x: x
-    return members.join(few(found.select(F.col("node").alias("line"), F.col("component").alias("label"))), "line", "left").withColumn("label", F.coalesce("label", "line"))
+    new = found.select(F.col("node").alias("label"), F.col("component").alias("_new"))
+    named = members.join(few(new), "label", "left").withColumn("label", F.coalesce("_new", "label"))
+    out = cut(named.select(members.columns), "members")
+    drop(members)
+    return out
 
 
 def _rarest(many: DataFrame, texts: DataFrame, similar: float, sets: Sets) -> DataFrame:
-    """(line, n, label, key): for each line of many the first n - ceil(similar * n) + 1 of its
-    shingles, rarest first, without those that no other line has. Two lines as similar as that
-    share one of them at least, so no pair is lost; a frequent passage comes last.
+    """(line, n, label, key, place): for each line of many the first n - ceil(similar * n) + 1 of
+    its shingles, rarest first, without those that no other line has. Two lines as similar as
+    that share one of them at least, so no pair is lost; a frequent passage comes last.
     """
 
     def run(batches):
@@ -203,15 +203,37 @@ def _rarest(many: DataFrame, texts: DataFrame, similar: float, sets: Sets) -> Da
     shared = all_.join(F.broadcast(often) if often.count() <= FEW else often, "key")
     own = shared.groupBy("line").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.array_sort(F.collect_list(F.struct("lines", "key"))).alias("ranked"))
     # shingles that no other line has come before all others
-    room = F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("ranked"))
-    return own.select("line", "n", "label", F.explode(F.slice("ranked", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("x")).select("line", "n", "label", "x.key")
+    own = own.withColumn("before", F.col("n") - F.size("ranked"))
+    room = F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1 - F.col("before")
+    own = own.select("line", "n", "label", "before", F.posexplode(F.slice("ranked", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("at", "x"))
+    return own.select("line", "n", "label", "x.key", (F.col("before") + F.col("at")).alias("place"))
+
+
+def _members(lines: DataFrame) -> DataFrame:
+    """(line, n, band) of the bands that two lines or more share, distinct; few others."""
+    small_batches(lines.sparkSession)
+    # half of a line's hash tells the lines of a band apart: two that agree in it are missed in 1 of 2^32 bands
+    half = F.shiftright("line", 32).cast("int")
+    all_ = lines.select(half.alias("half"), F.explode("bands").alias("band"))
+    groups = all_.groupBy("band").agg(F.min("half").alias("lo"), F.max("half").alias("hi")).where("lo < hi").select("band")
+    bits = lines.sparkSession.sparkContext.broadcast(sieve(groups, "band"))
+
+    def run(batches):
+        for b in batches:
+            ends, bands = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy()
+            bands = bands[ends[0] : ends[-1]]
+            own = np.flatnonzero(held(bits.value, bands.view(np.uint64)))
+            at = pa.array(np.searchsorted(ends - ends[0], own, side="right") - 1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(bands[own])], names=["line", "n", "band"])
+
+    return lines.select("line", "n", "bands").mapInArrow(run, "line long, n int, band long").distinct()
 
 
-def fuzzy_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, texts_of: Callable[[DataFrame, DataFrame], DataFrame] = line_texts, sets: Sets = line_sets) -> DataFrame:
-    """(a, b): verified links between distinct lines; lines that share a band and are similar
-    end in one component. lines: (line, n, bands) with n the shingles of a line, written; a line
-    may repeat. texts_of(docs, wanted) gives the texts of the lines that share a band, sets the
-    shingle sets of texts.
+def fuzzy_labels(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, texts_of: Callable[[DataFrame, DataFrame], DataFrame] = line_texts, sets: Sets = line_sets) -> DataFrame:
+    """(line, label) of the lines that share a band with others; lines that share a band and are
+    similar have one label, the smallest line of their component. lines: (line, n, bands) with n
+    the shingles of a line, written; a line may repeat. texts_of(docs, wanted) gives the texts of
+    the lines that share a band, sets the shingle sets of texts.
 
     ROUNDS rounds compare the lines of a band with a leader drawn by hash, except those that
     links already join to it, so a band of many copies costs one comparison each. What then is
@@ -220,45 +242,33 @@ def fuzzy_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, tex
     can avoid. Sizes that differ too much for the similarity are never compared.
     """
     small_batches(docs.sparkSession)
-    banded = lines.select("line", "n", F.explode("bands").alias("band"))
-    # half of a line's hash tells the lines of a band apart: two that agree in it are missed in 1 of 2^32 bands
-    half = F.shiftright("line", 32).cast("int")
-    groups = cut(banded.groupBy("band").agg(F.min(half).alias("lo"), F.max(half).alias("hi")).where("lo < hi").select("band"), "bands")
-    members = cut(_only(banded, groups, "band").distinct(), "members")
-    drop(groups)
+    members = cut(_members(lines).withColumn("label", F.col("line")), "members")
     wanted = cut(members.select("line").distinct(), "wanted")
     texts = cut(texts_of(docs, wanted), "texts")
 
     def could(n: str, m: str) -> Column:
         return F.least(n, m) >= similar * F.greatest(n, m)
 
-    judged = None
     for round_ in range(ROUNDS):
-        named = _labelled(members, judged.where("alike") if judged is not None else None)
         leader = F.min(F.struct(F.xxhash64("line", F.lit(round_)), F.col("line").alias("l"), F.col("label").alias("ll"), F.col("n").alias("ln"))).alias("x")
-        open_ = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), leader).where("lo < hi").select("band", "x.l", "x.ll", "x.ln")
-        met = named.join(open_, "band").where((F.col("label") != F.col("ll")) & could("n", "ln"))
-        pairs = met.select(F.least("line", "l").alias("a"), F.greatest("line", "l").alias("b")).distinct()
-        pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti") if judged is not None else pairs
-        now = cut(_verify(pairs, texts, similar, sets), "judged")
-        judged = now if judged is None else cut(judged.unionAll(now), "judged")
-    named = cut(_labelled(members, judged.where("alike")), "named")
-    drop(members)
-    open_ = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("band", "m")
-    left = cut(named.join(open_, "band"), "open")
-    drop(named)
-    few = left.where(F.col("m") <= GROUP).select("line", "n", "label", F.col("band").alias("key"))
+        open_ = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), leader).where("lo < hi").select("band", "x.l", "x.ll", "x.ln")
+        met = members.join(open_, "band").where((F.col("label") != F.col("ll")) & could("n", "ln"))
+        pairs = met.select(F.col("line").alias("a"), F.col("l").alias("b"), F.col("label").alias("la"), F.col("ll").alias("lb")).distinct()
+        members = _joined(members, _alike(pairs, texts, similar, sets))
+    open_ = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("band", "m")
+    left = cut(members.join(open_, "band"), "open")
+    few = left.where(F.col("m") <= GROUP).select("line", "n", "label", F.col("band").alias("key"), F.lit(0).alias("place"))
     # a large band holds lines that share a passage: they meet by their rarest shingles
     many = left.where(F.col("m") > GROUP).select("line", "n", "label").distinct()
     keyed = cut(few.unionAll(_rarest(many, texts, similar, sets)), "keyed")
     apart = cut(keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "apart")
     met = cut(_only(keyed, apart, "key"), "close")
-    x, y = (met.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("line", "n", "label"))) for k in "ab")
-    pairs = x.join(y, "key").where((F.col("line_a") < F.col("line_b")) & (F.col("label_a") != F.col("label_b")) & could("n_a", "n_b"))
-    pairs = pairs.select(F.col("line_a").alias("a"), F.col("line_b").alias("b")).distinct()
-    pairs = cut(pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    rest = _verify(pairs, texts, similar, sets).where("alike")
-    return judged.where("alike").select("a", "b").unionAll(rest.select("a", "b"))
+    x, y = (met.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("line", "n", "label", "place"))) for k in "ab")
+    # at the first shingle that two lines share, what is left of both holds all that they share
+    enough = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= similar / (1 + similar) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    pairs = x.join(y, "key").where((F.col("line_a") < F.col("line_b")) & (F.col("label_a") != F.col("label_b")) & could("n_a", "n_b") & enough)
+    pairs = cut(pairs.select(F.col("line_a").alias("a"), F.col("line_b").alias("b"), F.col("label_a").alias("la"), F.col("label_b").alias("lb")).distinct(), "pairs")
+    return _joined(members, _alike(pairs, texts, similar, sets)).select("line", "label").distinct()
 
 
 def dedup_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -266,13 +276,14 @@ def dedup_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     docs = docs.select("doc_id", "text")
     place = ["doc_id", "line_no", "text_key"]
     lines = cut(signed_lines(docs), "lines")
-    links = cut(fuzzy_links(docs, lines, similar), "links")
-    found = cut(components(links, "a", "b"), "line-components")
+    found = cut(fuzzy_labels(docs, lines, similar).where("label <> line"), "line-labels")
     # first places by line, then by component: written, so that both sides of each join are plain exchanges and hot keys can be split
-    firsts = lines.groupBy("line").agg(F.min(F.struct(*place)).alias("at")).withColumnRenamed("line", "node")
-    named = cut(firsts.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "at"), "firsts")
-    best = cut(named.join(found.select("node"), "node", "left_semi").groupBy("component").agg(F.min("at").alias("first")), "first")
-    named = cut(named.join(best, "component", "left").select(F.col("node").alias("line"), "component", F.coalesce("first", "at").alias("first")), "placed")
+    firsts = lines.groupBy("line").agg(F.min(F.struct(*place)).alias("at"))
+    named = cut(firsts.join(found, "line", "left").select("line", F.coalesce("label", "line").alias("component"), "at"), "firsts")
+    roots = found.select(F.col("label").alias("component")).distinct()
+    best = cut(named.join(roots, "component", "left_semi").groupBy("component").agg(F.min("at").alias("first")), "first")
+    # only lines that others join have to look for the first place of their component
+    named = named.join(best, "component", "left").select("line", "component", F.coalesce("first", "at").alias("first"))
     out = lines.select(*place, "line").join(named, "line")
     return out.select("doc_id", "text_key", "line_no", "line", "component", (F.struct(*place) == F.col("first")).alias("kept"))
 

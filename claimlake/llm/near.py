@@ -2,7 +2,7 @@
 
 Two texts are near copies if the sets of their shingles (WORDS words, A-Z lower-cased, split at
 the six ASCII blanks; a shorter text is one shingle) have a Jaccard of SIMILAR or more. Texts
-meet in bands of their signatures and are compared on their whole sets, as lines.fuzzy_links
+meet in bands of their signatures and are compared on their whole sets, as lines.fuzzy_labels
 does for lines. At Jaccard 0.8 a pair meets with a chance of 1 - (1 - 0.8^4)^16 = 99.98 %.
 
 Defined cases: texts of the same words are one text, also null, empty and blank ones; null ids
@@ -17,9 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlake.llm import shingles
-from claimlake.llm.lines import FEW, band_lists, fuzzy_links, held, one_text, sieve, text_key
+from claimlake.llm.lines import FEW, band_lists, fuzzy_labels, held, one_text, sieve, text_key
 from claimlake.llm.text import small_batches
-from claimlake.operators.components import components
 from claimlake.scratch import cut
 
 SIMILAR, BANDS, WIDTH, TINY = 0.8, 16, 4, 3
@@ -73,8 +72,7 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, text_key, component) of each row of (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     signed = cut(signatures(docs), "signatures")
-    links = cut(fuzzy_links(docs, signed, similar, _texts, shingles.word_sets), "links")
-    found = cut(components(links, "a", "b"), "components")
+    found = cut(fuzzy_labels(docs, signed, similar, _texts, shingles.word_sets).where("label <> line"), "labels")
     few = F.broadcast if found.count() <= FEW else lambda x: x
-    named = signed.select("doc_id", "text_key", "line").join(few(found.withColumnRenamed("node", "line")), "line", "left")
-    return named.select("doc_id", "text_key", F.coalesce("component", "line").alias("component"))
+    named = signed.select("doc_id", "text_key", "line").join(few(found), "line", "left")
+    return named.select("doc_id", "text_key", F.coalesce("label", "line").alias("component"))
