@@ -47,6 +47,8 @@ FEW = 100_000
 #: Bits of the filters that tasks share, whatever the number of lines or bands: what they let
 #: through by chance costs time, not results.
 SIEVE = 1 << 27
+#: Slots by which shingles of large bands are counted.
+SLOTS = 1 << 20
 BLANKS = " \t\r\x0b\x0c"
 _BLANK = dict.fromkeys(map(ord, BLANKS), " ")
 
@@ -188,25 +190,47 @@ def _rarest(many: DataFrame, texts: DataFrame, similar: float, sets: Sets) -> Da
     """(line, n, label, key, place): for each line of many the first n - ceil(similar * n) + 1 of
     its shingles, rarest first, without those that no other line has. Two lines as similar as
     that share one of them at least, so no pair is lost; a frequent passage comes last.
+
+    Any order of shingles that is one for all lines will do: it goes by how many lines have a
+    shingle of the same slot, of SLOTS, so what tasks share doesn't follow the input.
     """
+    rows = cut(many.join(texts, "line").select("line", "n", "label", "text"), "many")
 
-    def run(batches):
+    def slots(keys: np.ndarray) -> np.ndarray:
+        return (keys & np.uint64(SLOTS - 1)).astype(np.int64)
+
+    def count(batches):
+        seen = np.zeros(SLOTS, dtype=np.int64)
+        for b in batches:
+            own = b.column(0).to_pylist()
+            for s in shingles.groups([len(x) for x in own]):
+                seen += np.bincount(slots(sets(own[s])), minlength=SLOTS)
+        used = np.flatnonzero(seen)
+        for k in range(0, len(used), 1 << 16):
+            yield pa.record_batch([pa.array(used[k : k + (1 << 16)]), pa.array(seen[used[k : k + (1 << 16)]])], names=["slot", "lines"])
+
+    sums = rows.select("text").mapInArrow(count, "slot long, lines long").groupBy("slot").agg(F.sum("lines").alias("lines")).toArrow()  # SLOTS rows at most
+    often = np.zeros(SLOTS, dtype=np.int64)
+    often[sums["slot"].to_numpy()] = sums["lines"].to_numpy()
+    shared = many.sparkSession.sparkContext.broadcast(often)
+
+    def first(batches):
+        often = shared.value
         for b in batches:
             own = b.column(3).to_pylist()
             for s in shingles.groups([len(x) for x in own]):
                 keys = sets(own[s])
-                at = pa.array((keys >> np.uint64(shingles.BITS)).astype(np.int64) + s.start)
-                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), pa.array((keys << np.uint64(64 - shingles.BITS)).view(np.int64))], names=["line", "n", "label", "key"])
-
-    all_ = cut(many.join(texts, "line").select("line", "n", "label", "text").mapInArrow(run, "line long, n int, label long, key long"), "rare")
-    often = cut(all_.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1"), "often")
-    shared = all_.join(F.broadcast(often) if often.count() <= FEW else often, "key")
-    own = shared.groupBy("line").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.array_sort(F.collect_list(F.struct("lines", "key"))).alias("ranked"))
-    # shingles that no other line has come before all others
-    own = own.withColumn("before", F.col("n") - F.size("ranked"))
-    room = F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1 - F.col("before")
-    own = own.select("line", "n", "label", "before", F.posexplode(F.slice("ranked", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("at", "x"))
-    return own.select("line", "n", "label", "x.key", (F.col("before") + F.col("at")).alias("place"))
+                ends = shingles.bounds(keys, s.stop - s.start)
+                number, lines = (keys >> np.uint64(shingles.BITS)).astype(np.int64), often[slots(keys)]
+                order = np.lexsort((keys, lines, number))
+                n = np.diff(ends)
+                room = n - np.ceil(similar * n - 1e-9).astype(np.int64) + 1
+                place = np.arange(len(keys)) - ends[number]  # numbers are in order before and after
+                use = (place < room[number]) & (lines[order] > 1)
+                at = pa.array(number[use] + s.start)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), pa.array((keys[order][use] << np.uint64(64 - shingles.BITS)).view(np.int64)), pa.array(place[use].astype(np.int32))], names=["line", "n", "label", "key", "place"])
+
+    return rows.mapInArrow(first, "line long, n int, label long, key long, place int")
 
 
 def _members(lines: DataFrame) -> DataFrame:
