@@ -1,9 +1,12 @@
-"""Near copies by exact Jaccard of word shingles, for the corpus pipeline.
+"""SimHash near-dedup (simhash.py) with an exact check, for the corpus pipeline.
 
 Two texts are near copies if the sets of their shingles (WORDS words, A-Z lower-cased, split at
-the six ASCII blanks; a shorter text is one shingle) have a Jaccard of SIMILAR or more. Texts
-meet in bands of their signatures and are compared on their whole sets, as lines.fuzzy_labels
-does for lines. At Jaccard 0.8 a pair meets with a chance of 1 - (1 - 0.8^4)^16 = 99.98 %.
+the six ASCII blanks; a shorter text is one shingle) have a Jaccard of SIMILAR or more.
+Fingerprints of these shingles and their anchors give groups of texts that differ in few
+places. 64 bits don't tell Jaccard 0.8 from less, and at 2 bits only a few of the pairs of that
+similarity are linked, so each group is checked on whole sets and the search is completed: a
+group is one more band beside those of a MinHash signature, and lines.fuzzy_labels compares the
+texts of all bands. At Jaccard 0.8 a pair meets with a chance of 1 - (1 - 0.8^4)^16 = 99.98 %.
 
 Defined cases: texts of the same words are one text, also null, empty and blank ones; null ids
 are ordinary; an empty table gives an empty result; extra columns are not read.
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlake.llm import shingles
+from claimlake.llm import shingles, simhash
 from claimlake.llm.lines import FEW, band_lists, fuzzy_labels, held, one_text, sieve, text_key
 from claimlake.llm.text import small_batches
 from claimlake.scratch import cut
@@ -39,7 +42,7 @@ def _bytes(docs: DataFrame):
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line, n, bands) of each row; line: the key that texts of the same words share."""
+    """(doc_id, text_key, line, n, bands, fp) of each row; line: the key that texts of the same words share."""
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), _bytes(docs))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -49,9 +52,10 @@ def signatures(docs: DataFrame) -> DataFrame:
             words = [_words(t.as_py()) for t in b.column(2)]
             parts = [shingles.signatures(shingles.word_sets(words[s]), s.stop - s.start, BANDS, WIDTH) for s in shingles.groups([len(x) for x in words])]
             n, bands = band_lists(parts, TINY)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_digest(words).view(np.int64)), pa.array(n), bands], names=["doc_id", "text_key", "line", "n", "bands"])
+            prints = np.fromiter((simhash.fingerprint(w, shingles.WORDS) for w in words), np.uint64, len(words))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_digest(words).view(np.int64)), pa.array(n), bands, pa.array(prints.view(np.int64))], names=["doc_id", "text_key", "line", "n", "bands", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, line long, n int, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, line long, n int, bands array<long>, fp long")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -72,7 +76,14 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, text_key, component) of each row of (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     signed = cut(signatures(docs), "signatures")
-    found = cut(fuzzy_labels(docs, signed, similar, _texts, shingles.word_sets).where("label <> line"), "labels")
-    few = F.broadcast if found.count() <= FEW else lambda x: x
-    named = signed.select("doc_id", "text_key", "line").join(few(found), "line", "left")
+    groups = simhash.groups(cut(signed.select("fp").distinct(), "prints"))
+    banded = signed.join(_few(groups), "fp", "left").withColumn("group", F.xxhash64(F.coalesce("component", "fp"), F.lit("simhash")))
+    texts = cut(banded.select("line", "n", F.array_append("bands", F.col("group")).alias("bands")), "texts-bands")
+    found = cut(fuzzy_labels(docs, texts, similar, _texts, shingles.word_sets).where("label <> line"), "labels")
+    named = signed.select("doc_id", "text_key", "line").join(_few(found), "line", "left")
     return named.select("doc_id", "text_key", F.coalesce("label", "line").alias("component"))
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, broadcast if few."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows

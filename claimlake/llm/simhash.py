@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlake.llm.text import small_batches
+from claimlake.llm.text import large_batches, small_batches
 from claimlake.operators.components import components
 from claimlake.scratch import cut
 
@@ -39,12 +39,12 @@ TILE, SAMPLE = 20_000, 20_000
 PART = 1 << 20
 
 
-def _shingle_counts(data: bytes, counts: np.ndarray, carried: list[bytes], last: bool, total: list[int]) -> list[bytes]:
+def _shingle_counts(data: bytes, counts: np.ndarray, carried: list[bytes], last: bool, total: list[int], shingle: int) -> list[bytes]:
     """Add the bit counts of a part's shingles; return the words that the next part begins with."""
     from xxhash import xxh64_intdigest as digest
 
     words = carried + data.lower().split()
-    n = len(words) - SHINGLE + 1
+    n = len(words) - shingle + 1
     if n < 1:
         if last and not total[0] and words:
             n = 1
@@ -54,7 +54,7 @@ def _shingle_counts(data: bytes, counts: np.ndarray, carried: list[bytes], last:
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes) - 1
     starts = (ends + 1 - sizes)[:n].tolist()
-    ends = (ends[SHINGLE - 1 :] if len(words) >= SHINGLE else ends[-1:]).tolist()
+    ends = (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
     for k in range(0, n, 1 << 16):
         h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[k : k + (1 << 16)], ends[k : k + (1 << 16)], strict=True)), np.uint64, min(n - k, 1 << 16))
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -62,14 +62,14 @@ def _shingle_counts(data: bytes, counts: np.ndarray, carried: list[bytes], last:
     return words[n:]
 
 
-def fingerprint(data: bytes) -> int:
-    """Of a text's UTF-8 bytes; words are split at the six ASCII blanks and A-Z lower-cased."""
+def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
+    """Of a text's UTF-8 bytes, from shingles of so many words; words are split at the six ASCII blanks and A-Z lower-cased."""
     counts, total, carried, at = np.zeros(64, dtype=np.int64), [0], [], 0
     while at < len(data):
         end = at + PART
         while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
             end += 1
-        carried = _shingle_counts(data[at:end], counts, carried, end >= len(data), total)
+        carried = _shingle_counts(data[at:end], counts, carried, end >= len(data), total, shingle)
         at = end
     bits = counts * 2 > total[0]
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
@@ -261,17 +261,21 @@ def links(prints: DataFrame, tile: int = TILE) -> DataFrame:
             yield pa.record_batch({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
     rows = prints.select("fp").mapInArrow(replicate, "anchor long, tile int, visitor boolean, fp long")
-    # 10,000 rows a batch suits these short rows
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     return rows.repartition("anchor", "tile").sortWithinPartitions("anchor", "tile", "visitor").mapInArrow(meet, "a long, b long")
 
 
+def groups(distinct: DataFrame) -> DataFrame:
+    """(fp, component), written, of the fingerprints that others link to; distinct: a written table."""
+    with large_batches(distinct.sparkSession, 20_000):  # short rows
+        found = cut(links(distinct), "links")
+    return cut(components(found, "a", "b").withColumnRenamed("node", "fp"), "components")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for each row of (doc_id, text)."""
     prints = cut(fingerprints(docs), "prints")
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    found = components(cut(links(distinct), "links"), "a", "b").withColumnRenamed("node", "fp")
-    found = cut(found, "components")
+    found = groups(distinct)
     first = found.join(distinct, "fp").groupBy("component").agg(F.min("least").alias("first"))
     linked = found.join(first, "component").select("fp", "first")
     # written first, so that both sides of the join are plain exchanges and a hot fingerprint can be split
