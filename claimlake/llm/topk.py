@@ -1,9 +1,9 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Vectors are range-partitioned and sorted by length, so each task reads buckets (Arrow
-batches) of similar length. Queries come in blocks of BLOCK, a size bound for what is
-broadcast. A query starts with the k-th best score among the SEEDS longest vectors. In a
-bucket with greatest length m, a query needs cosine >= threshold / (|q| m): above 1 the bucket
+batches) of similar length. Queries come in blocks of BLOCK, a size bound for what driver and
+tasks hold; a block is searched and its best ones written before the next one is read. A query
+starts with the k-th best score among the SEEDS longest vectors. In a bucket with greatest length m, a query needs cosine >= threshold / (|q| m): above 1 the bucket
 is skipped (length pruning); above COSINE, only vectors whose coordinate along the query's
 largest component lies in the range that this cosine allows are multiplied (coordinate
 pruning); otherwise the whole bucket is. Products are exact: in float64 where all sums stay
@@ -18,14 +18,13 @@ empty result; extra columns are not read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimlake.scratch import cut
+from claimlake.llm.text import large_batches
+from claimlake.scratch import cut, new_path
 
 K, EVERY, SCALE = 10, 100, 1024.0
 BLOCK, SEEDS, BUCKET, COSINE = 8192, 2048, 2048, 0.6
@@ -91,21 +90,25 @@ def _scan(best: _Best, qid: np.ndarray, q: np.ndarray, qnorm: np.ndarray, ids: n
     with np.errstate(divide="ignore", invalid="ignore"):
         need = np.where((qnorm[alive] * most > 0) & (best.floor[alive] > 0), best.floor[alive] / (qnorm[alive] * most), -1.0)
     focus = np.flatnonzero(need > COSINE)
+    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if len(focus):
+        share = v / np.maximum(lengths, 1e-300)[:, None]
     for i in alive[focus]:
         t = min(1.0, best.floor[i] / (qnorm[i] * most) - 1e-9)
         f = int(np.argmax(np.abs(q[i])))
         c = q[i, f] / qnorm[i]
         spread = (max(0.0, (1 - t * t) * (1 - c * c))) ** 0.5 + 1e-6
         # outside the range no vector of the bucket reaches cosine t with the query
-        at = v[:, f] / np.maximum(lengths, 1e-300)
+        at = share[:, f]
         # the range ends at +-1 where the query's own direction along f is that close to the axis
         low = -1.0 if -c >= t else t * c - spread
         high = 1.0 if c >= t else t * c + spread
         near = np.flatnonzero((at >= low) & (at <= high) & (ids != qid[i]))
         s = products(q[i : i + 1], v[near])[0]
         ok = s >= best.floor[i]
-        if ok.any():
-            best.add(np.full(int(ok.sum()), i), ids[near[ok]], s[ok])
+        hits.append((np.full(int(ok.sum()), i), ids[near[ok]], s[ok]))
+    if hits:  # the lists of best ones are sorted once a bucket
+        best.add(*(np.concatenate(x) for x in zip(*hits, strict=True)))
     plain = np.setdiff1d(alive, alive[focus], assume_unique=True)
     for k in range(0, len(plain), ROWS):
         part = plain[k : k + ROWS]
@@ -131,7 +134,6 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def top_k(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """(query_id, rank, vec_id, score) for (vec_id, embedding)."""
     spark = rows.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BUCKET))
     found = cut(vectors(rows).repartitionByRange(F.desc("norm"), F.col("vec_id")).sortWithinPartitions(F.desc("norm"), "vec_id"), "vectors")
     asked = found.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "embedding")).alias("v")).select("vec_id", "v.dim", "v.embedding")
     asked = cut(asked, "queries")
@@ -143,7 +145,7 @@ def top_k(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     for dim in {r["dim"] for r in longest}:
         own = [r for r in longest if r["dim"] == dim]
         seeds[dim] = (np.array([r["vec_id"] for r in own], dtype=np.int64), whole(np.array([r["embedding"] for r in own], dtype=np.float64).reshape(len(own), dim)))
-    parts = []
+    path = new_path(spark, "best")
     for block in range(blocks):
         by: dict[int, tuple] = {}
         got = asked.where(F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)) == block).collect()  # about BLOCK rows
@@ -159,8 +161,12 @@ def top_k(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
                     s[qid[at : at + ROWS][:, None] == ids[None, :]] = LOW
                     floor[at : at + ROWS] = np.sort(s, axis=1)[:, -k]
             by[dim] = (qid, q, np.linalg.norm(q, axis=1), floor)
-        parts.append(found.select("vec_id", "embedding", "dim").mapInArrow(_searcher(spark.sparkContext.broadcast(by), k), SCHEMA))
-    merged = reduce(DataFrame.unionAll, parts)
+        shared = spark.sparkContext.broadcast(by)
+        with large_batches(spark, BUCKET):
+            found.select("vec_id", "embedding", "dim").mapInArrow(_searcher(shared, k), SCHEMA).write.mode("append").parquet(path)
+        shared.destroy()  # the next block takes its place
+        del by, got
+    merged = spark.read.schema(SCHEMA).parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
