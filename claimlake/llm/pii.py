@@ -10,7 +10,7 @@ removed; a second pass finds the occurrences.
 
 Defined cases: null text is empty and has no span; repeated rows each get their row and count
 as documents; an empty table gives an empty result; a null id is kept; extra columns are not
-read. redact() joins by id, so rows that share an id share their spans.
+read, but redact() returns them. Rows carry their own spans: rows that share an id don't mix.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from claimlake.llm.text import chunks, small_batches
 from claimlake.scratch import cut
@@ -33,6 +34,7 @@ SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.98
 HELD = 200_000
 #: Bits of the filter of disclosing terms that tasks share.
 SIEVE = 1 << 23
+_PLACE = StructType([StructField("term", LongType()), StructField("start", IntegerType()), StructField("stop", IntegerType())])
 
 # Written so that no text takes more than linear time: a run of digits or of address
 # characters is tried once, from its start.
@@ -175,12 +177,14 @@ def disclosing(scanned: DataFrame, support: int = SUPPORT, generalise: float = G
     return both.join(values, "value").join(terms, "term").select("value", "term", share.alias("share")).where(F.col("share") >= generalise)
 
 
-def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, terms: DataFrame, rows: bool = False) -> DataFrame:
     """(doc_id, row, base, seen) of each row; seen: every place outside spans of a term whose
-    hash may be in terms. SIEVE bits are shared, whatever the number of terms: joins decide."""
+    hash may be in terms. SIEVE bits are shared, whatever the number of terms: joins decide.
+    rows: with the whole row of docs, as a struct doc."""
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    at = [c.lower() for c in docs.columns].index("text")
+    docs = docs.select("doc_id", F.struct("*").alias("doc") if rows else "text")
+    schema = StructType([docs.schema["doc_id"], StructField("row", LongType()), StructField("base", StringType()), StructField("seen", ArrayType(_PLACE)), *([docs.schema["doc"]] if rows else [])])
     fields = pa.struct([("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
     bits = np.zeros(SIEVE // 8, dtype=np.uint8)
     for r in terms.select(F.pmod("term", F.lit(SIEVE)).alias("k")).distinct().toLocalIterator():
@@ -201,8 +205,8 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
             return known[word]
 
         for b in batches:
-            base, seen, rows = [], [], []
-            for t in b.column(1):
+            base, seen, numbers = [], [], []
+            for t in b.column(1).field(at) if rows else b.column(1):
                 text = t.as_py() or ""
                 spans = base_spans(text)
                 base.append(joined(spans))
@@ -213,42 +217,42 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
                     if h is not None:
                         places.append({"term": h, "start": m.start(), "stop": m.end()})
                 seen.append(places)
-                rows.append(row)
+                numbers.append(row)
                 row += 1
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.int64()), pa.array(base, pa.string()), pa.array(seen, pa.list_(fields))], names=["doc_id", "row", "base", "seen"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(numbers, pa.int64()), pa.array(base, pa.string()), pa.array(seen, pa.list_(fields)), *([b.column(1)] if rows else [])], names=schema.names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, row long, base string, seen array<struct<term:long,start:int,stop:int>>")
+    return docs.mapInArrow(run, schema)
 
 
-def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(doc_id, base, spans): pattern spans, and all spans, as kind:start:end joined by commas."""
+def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, rows: bool = False) -> DataFrame:
+    """(doc_id, base, spans): pattern spans, and all spans, as kind:start:end joined by commas.
+    rows: with the whole row of docs, as a struct doc."""
     flagged = disclosing(cut(scan(docs), "pii"), support, generalise)
     # a term is as telling as for the value that it gives away most
     flagged = cut(flagged.groupBy("term").agg(F.max("share").alias("share")), "disclosing")
-    rows = cut(occurrences(docs, flagged), "occurrences")
+    places = cut(occurrences(docs, flagged, rows), "occurrences")
     kinds = F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
-    hits = rows.where(F.size("seen") > 0).select("row", F.explode("seen").alias("s")).select("row", "s.*").join(flagged, "term")
+    hits = places.where(F.size("seen") > 0).select("row", F.explode("seen").alias("s")).select("row", "s.*").join(flagged, "term")
     spans = F.array_sort(F.collect_list(F.struct(kinds.alias("kind"), "start", "stop")))
     added = hits.groupBy("row").agg(spans.alias("a")).select("row", F.array_join(F.transform("a", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",").alias("added"))
-    found = rows.select("doc_id", "row", "base").join(added, "row", "left")
-    return found.select("doc_id", "base", F.concat_ws(",", F.nullif("base", F.lit("")), "added").alias("spans"))
+    found = places.drop("seen").join(added, "row", "left")
+    return found.select("doc_id", "base", F.concat_ws(",", F.nullif("base", F.lit("")), "added").alias("spans"), *(["doc"] if rows else []))
 
 
-def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with text sanitised: spans become [KIND]; of overlapping spans the first stands."""
-    spans = found.select(F.col("doc_id").alias("_id"), "spans").groupBy("_id").agg(F.max("spans").alias("_spans"))
-    names = docs.columns
-    parts = F.transform(F.split("_spans", ","), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("a"), F.split(x, ":")[2].cast("int").alias("b"), F.split(x, ":")[0].alias("k")))
-    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("at"))
-    text = F.col("text")
+def redact(found: DataFrame) -> DataFrame:
+    """The rows of find(rows=True) with their text sanitised: spans become [KIND]; of overlapping
+    spans the first stands, and of two that start together the longer one."""
+    parts = F.transform(F.filter(F.split("spans", ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("a"), (-F.split(x, ":")[2].cast("int")).alias("b"), F.split(x, ":")[0].alias("k")))
+    start = F.struct(F.array().cast("array<string>").alias("t"), F.lit(0).alias("at"))
+    text = F.col("doc.text")
 
     def step(acc, x):
-        clean = F.concat(acc["t"], F.substring(text, acc["at"] + 1, x["a"] - acc["at"]), F.lit("["), F.upper(x["k"]), F.lit("]"))
-        return F.when(x["a"] >= acc["at"], F.struct(clean.alias("t"), x["b"].alias("at"))).otherwise(acc)
+        # only the parts between spans are gathered: a text with many spans isn't copied for each
+        more = F.concat(acc["t"], F.array(F.substring(text, acc["at"] + 1, x["a"] - acc["at"]), F.concat(F.lit("["), F.upper(x["k"]), F.lit("]"))))
+        return F.when(x["a"] >= acc["at"], F.struct(more.alias("t"), (-x["b"]).alias("at"))).otherwise(acc)
 
-    clean = F.aggregate(F.array_sort(parts), start, step, lambda acc: F.concat(acc["t"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return out.withColumn("text", F.when(F.col("_spans") != "", clean).otherwise(text)).select(*names)
+    clean = F.aggregate(F.array_sort(parts), start, step, lambda acc: F.concat(F.array_join(acc["t"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return found.withColumn("doc", F.col("doc").withField("text", F.when(F.col("spans") != "", clean).otherwise(text))).select("doc.*")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,5 +12,5 @@ def test_far_terms(spark):
     assert got[0]["spans"] == got[0]["base"] + ",remove:0:7" or got[0]["spans"] == got[0]["base"] + ",generalise:0:7"
     assert got[30]["base"] == "" and got[30]["spans"] == got[0]["spans"].split(",")[1]
     assert got[40]["spans"] == ""
-    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs, pii.find(docs)).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(pii.find(docs, rows=True)).collect()}
     assert "Quillon" not in clean[3] and "Quillon" not in clean[30] and clean[40] == texts[40]

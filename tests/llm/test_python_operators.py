@@ -160,7 +160,7 @@ def test_disclosure(spark):
     assert f":{at}:{at + 5}" in got[3][0][1] and got[3][0][1].startswith(got[3][0][0]) and len(got[0]) == 2
     assert not any(f":{text.index(w)}:" in got[3][0][1] for w in ("the", "report"))
     assert got[20] == [("", "")] and got[400] == [("", "")] and got[None][0][0].startswith("phone:5:")
-    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs, found).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(pii.find(docs, rows=True)).collect()}
     assert "qv0@" not in clean[2] and "Varga" not in clean[2] and "the report today" in clean[2] and clean[20] == rows[15][1]
     assert clean[400] is None
     assert pii.find(empty(spark)).count() == 0
