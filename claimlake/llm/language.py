@@ -2,10 +2,15 @@
 
 fit() counts words and character n-grams per language over a bounded, hash-chosen sample of
 labelled rows (PER_LANG documents a language are expected, every one below that number) and
-keeps the MAX_WORDS words and MAX_GRAMS n-grams seen most often, so the model that goes to
-the driver and the executors has a fixed largest size. predict() reads whole texts: a known
-word scores by its log frequency in each language, an unseen one by its longest n-grams that
-the model has, five characters down to one.
+keeps all that were seen MIN_COUNT times, so the model grows with the number of languages and
+not with the input. Whole texts are learned and predicted: a run of letters longer than PART,
+as in scripts without blanks, counts and scores in parts. A known word scores by its log
+frequency in each language, an unseen one by its longest n-grams that the model has, five
+characters down to one, by the mean of their log frequencies. What a row of log frequencies has
+in common to all languages is left out: it changes neither the order nor the shares.
+
+The model is a few arrays and two joined texts, fetched by Arrow and shared with the tasks;
+scores are held for the languages that a word or n-gram was seen in only.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; a text whose
 words say nothing gets the language with most training rows (ties: smaller code point) and
@@ -24,9 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlake.llm.text import chunks, small_batches
+from claimlake.scratch import cut
 
-PER_LANG, MAX_WORDS, MAX_GRAMS, MIN_COUNT = 2_000, 60_000, 60_000, 2
-LONGEST, KEPT = 5, 200_000
+PER_LANG, MIN_COUNT = 2_000, 2
+#: Longest n-gram; letters of a run that count as a word; scores that a worker keeps at hand.
+LONGEST, PART, KEPT = 5, 64, 4_000_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -40,62 +47,80 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+def parts_of(text: str) -> list[str]:
+    """The words of a lower-cased text, longer runs of letters in parts."""
+    words = WORD.findall(text)
+    if words and max(map(len, words)) > PART:
+        return [w[i : i + PART] for w in words for i in range(0, len(w), PART)]
+    return words
+
+
+@dataclass
+class Table:
+    """Log frequencies of keys: key k has those of langs[ends[k]:ends[k + 1]], the other languages rest."""
+
+    keys: str  # joined by line ends
+    ends: np.ndarray
+    langs: np.ndarray
+    logs: np.ndarray
+    rest: np.ndarray
+
+    def row(self, k: int) -> np.ndarray:
+        out = self.rest.copy()
+        own = slice(self.ends[k], self.ends[k + 1])
+        out[self.langs[own]] = self.logs[own]
+        return out - out.max()
+
+
 @dataclass
 class Model:
-    """Rows of log frequencies, one column a language; languages in order of preference."""
+    """langs in order of preference."""
 
     langs: list[str] = field(default_factory=list)
-    words: dict[str, int] = field(default_factory=dict)
-    grams: dict[str, int] = field(default_factory=dict)
-    word_scores: np.ndarray | None = None
-    gram_scores: np.ndarray | None = None
-
-    def backoff(self, word: str) -> np.ndarray | None:
-        """Mean score of the longest n-grams of an unseen word that the model has."""
-        word = word[:64] if len(word) > 64 else word  # scripts without blanks: see lookup()
-        for n in range(LONGEST, 0, -1):
-            if known := [k for g in grams(word, n) if (k := self.grams.get(g)) is not None]:
-                return self.gram_scores[known].mean(axis=0)
-        return None
+    words: Table | None = None
+    grams: Table | None = None
 
 
 class _Lookup(dict):
-    """word -> row of scores; keeps up to KEPT unseen words and sums the rest aside."""
+    """word -> row of scores, made when it is first asked for; beyond KEPT scores they are summed aside."""
 
     def __init__(self, model: Model):
-        super().__init__({w: i + 1 for w, i in model.words.items()})
+        super().__init__()
         self.model = model
         n = len(model.langs)
-        self.rows = np.zeros((len(self) + 1 + KEPT, n), dtype=np.float32)
-        if len(self):
-            self.rows[1 : len(self) + 1] = model.word_scores
-        self.used, self.aside = len(self) + 1, np.zeros(n)
+        self.words = {w: k for k, w in enumerate(model.words.keys.split("\n"))} if n else {}
+        self.grams = {g: k for k, g in enumerate(model.grams.keys.split("\n"))} if n else {}
+        self.rows = np.zeros((KEPT // max(n, 1) + 1, n), dtype=np.float32)
+        self.used, self.aside = 1, np.zeros(n)
+
+    def backoff(self, word: str) -> np.ndarray | None:
+        """Mean log frequencies of the longest n-grams of an unseen word that the model has."""
+        for n in range(LONGEST, 0, -1):
+            if known := [k for g in grams(word, n) if (k := self.grams.get(g)) is not None]:
+                return np.mean([self.model.grams.row(k) for k in known], axis=0)
+        return None
 
     def __missing__(self, word: str) -> int:
-        # a run of letters longer than 64 is scored in parts, so that no part of it is left out
-        parts = [word[i : i + 64] for i in range(0, len(word), 64)]
-        found = [s for p in parts if (s := self.model.backoff(p)) is not None]
-        if not found:
-            row, score = 0, None
-        else:
-            score = np.sum(found, axis=0)
-            row = self.used if self.used < len(self.rows) and len(word) <= 64 else 0
-        if row:
-            self.rows[row] = score
+        k = self.words.get(word)
+        score = self.model.words.row(k) if k is not None else self.backoff(word)
+        if self.used < len(self.rows):
+            if score is None:
+                self[word] = 0
+                return 0
+            self.rows[self.used] = score
+            self[word] = self.used
             self.used += 1
-        elif score is not None:
+            return self.used - 1
+        if score is not None:
             self.aside += score
-            return 0
-        if len(word) <= 64 and self.used < len(self.rows):
-            self[word] = row
-        return row
+        return 0
 
     def score(self, text: str) -> tuple[int, float] | None:
         """(best language, its share of the evidence); None if the text has no letter."""
         total, any_word = np.zeros(len(self.model.langs)), False
         self.aside[:] = 0
         for part in chunks(text):
-            words = WORD.findall(part.lower())
+            words = parts_of(part.lower())
             if words:
                 any_word = True
                 total += self.rows[np.fromiter(map(self.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
@@ -108,7 +133,7 @@ class _Lookup(dict):
 
 
 def _counts(batches):
-    """Per task and batch: (lang, kind, gram, n), already summed."""
+    """Per batch: (lang, kind, gram, n), already summed."""
     from collections import Counter
 
     for b in batches:
@@ -116,52 +141,51 @@ def _counts(batches):
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             c = by.setdefault(lang, Counter())
             for part in chunks(text or ""):
-                c.update(WORD.findall(part.lower()))
+                c.update(parts_of(part.lower()))
         for lang, words in by.items():
             small: Counter = Counter()
             for w, n in words.items():
                 for k in range(1, LONGEST + 1):
-                    for g in grams(w[:64], k):
+                    for g in grams(w, k):
                         small[g] += n
             for kind, c in ((0, words), (1, small)):
-                keys = [k for k in c if len(k) <= 64]
+                keys = list(c)
                 for i in range(0, len(keys), 50_000):
                     part = keys[i : i + 50_000]
                     yield pa.record_batch({"lang": pa.array([lang] * len(part), pa.string()), "kind": pa.array([kind] * len(part), pa.int32()), "gram": pa.array(part, pa.string()), "n": pa.array([c[k] for k in part], pa.int64())})
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, min_count: int = MIN_COUNT) -> Model:
     """Learn from (text, lang) of labelled rows outside the held-out fold."""
-    small_batches(docs.sparkSession)
-    train = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    spark = docs.sparkSession
+    small_batches(spark)
+    train = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    # one row a language
+    sizes = train.groupBy("lang").agg(F.count("*").alias("n")).toArrow().to_pydict()
+    order = sorted(zip(sizes["lang"], sizes["n"], strict=True), key=lambda x: (-x[1], x[0]))
+    if not order:
         return Model()
-    langs = sorted(sizes, key=lambda x: (-sizes[x], x))
-    parts = 1 << 20
-    share = F.create_map(*[y for x in langs for y in (F.lit(x), F.lit(min(parts, int(parts * per_lang / sizes[x]) + 1)))])
-    sample = train.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("sample")), F.lit(parts)) < share[F.col("lang")])
-    counts = sample.select("lang", "text").mapInArrow(_counts, "lang string, kind int, gram string, n long")
-    # one row a gram; most frequent first, so the model's largest size doesn't follow the input
-    table = counts.groupBy("kind", "gram").pivot("lang", langs).agg(F.sum("n")) if len(langs) > 1 else counts.groupBy("kind", "gram").agg(F.sum("n").alias(langs[0]))
-    table = table.toDF("kind", "gram", *[f"n{i}" for i in range(len(langs))]).fillna(0, [f"n{i}" for i in range(len(langs))])
-    total = sum((F.col(f"n{i}") for i in range(1, len(langs))), F.col("n0"))
-    table = table.withColumn("total", total).where(F.col("total") >= MIN_COUNT)
-    model = Model(langs)
-    for kind, most in ((0, max_words), (1, max_grams)):
-        names = [f"n{i}" for i in range(len(langs))]
-        rows = table.where(F.col("kind") == kind).orderBy(F.desc("total"), "gram").limit(most).select("gram", *names).collect()
-        index = {r[0]: i for i, r in enumerate(rows)}
-        n = np.array([r[1:] for r in rows], dtype=np.float64).reshape(len(index), len(langs)) + 0.5
-        del rows
-        logs = np.log(n / np.maximum(n.sum(axis=0, keepdims=True), 1))
-        # what a word says about the language: its log share among the languages
-        logs -= np.log(np.exp(logs).sum(axis=1, keepdims=True)) if len(index) else 0
-        if kind == 0:
-            model.words, model.word_scores = index, logs.astype(np.float32)
-        else:
-            model.grams, model.gram_scores = index, logs.astype(np.float32)
-    return model
+    langs = [x for x, _ in order]
+    numbers = spark.createDataFrame([(x, k, min(1.0, per_lang / n)) for k, (x, n) in enumerate(order)], "lang string, number int, share double")
+    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    sample = train.join(F.broadcast(numbers), "lang").where(place < F.col("share")).select("lang", "text")
+    counts = sample.mapInArrow(_counts, "lang string, kind int, gram string, n long")
+    counts = counts.groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")).join(F.broadcast(numbers.drop("share")), "lang")
+    seen = F.array_sort(F.collect_list(F.struct("number", "n")))  # languages at most
+    table = cut(counts.groupBy("kind", "gram").agg(F.sum("n").alias("total"), seen.alias("seen")).where(F.col("total") >= min_count).select("kind", "gram", "seen"), "grams")
+
+    def fetch(kind: int) -> Table:
+        rows = table.where(F.col("kind") == kind).select("gram", F.col("seen.number").alias("number"), F.col("seen.n").alias("n")).orderBy("gram").toArrow().combine_chunks()
+        if not rows.num_rows:
+            return Table("\n", np.zeros(2, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32), np.zeros(len(langs), dtype=np.float32))
+        lists = rows["number"].combine_chunks()
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        number, n = lists.values.to_numpy(), rows["n"].combine_chunks().values.to_numpy()
+        # half a count for what a language lacks
+        whole = np.bincount(number, weights=n, minlength=len(langs)) + 0.5 * rows.num_rows
+        return Table("\n".join(rows["gram"].to_pylist()), ends, number.astype(np.int32), np.log((n + 0.5) / whole[number]).astype(np.float32), np.log(0.5 / whole).astype(np.float32))
+
+    return Model(langs, fetch(0), fetch(1))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", lang_col: str = "lang_pred", score_col: str = "score", keep_text: bool = True) -> DataFrame:
