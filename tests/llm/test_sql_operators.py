@@ -92,17 +92,26 @@ def test_archive(spark, tmp_path):
     path = str(tmp_path / "w")
     warc.write(pages, path)
     found = warc.read(spark, path)
-    got = {r["page_id"]: r for r in warc.digests(found).collect()}
+    records = warc.record_bytes(found)
+    parsed = warc.parse(records).collect()
+    got = {r["page_id"]: r for r in parsed}
     assert got[3]["record_type"] == "response" and got[3]["refers_to"] is None
     assert {got[k]["refers_to"] for k in (1, 2, None)} == {3}
     assert got[4]["record_type"] == got[5]["record_type"] == "response" and got[6]["payload_bytes"] == 0
     assert spark.read.parquet(f"{path}/payloads").count() == 3
-    for r in warc.record_bytes(found).collect():
+    assert len({r["record_id"] for r in parsed}) == len(rows) == len(parsed)
+    for r in records.collect():
         head, _, block = bytes(r["record"]).partition(b"\r\n\r\n")
-        size = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
-        assert block == block[:size] + b"\r\n\r\n" and head.startswith(b"WARC/1.1\r\n") and b"\nX: y" not in head
-        revisit = b"WARC-Type: revisit" in head
-        assert revisit == (got[r["page_id"]]["record_type"] == "revisit") and (size == 0 if revisit else size == got[r["page_id"]]["payload_bytes"])
+        fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+        size = int(fields[b"Content-Length"])
+        assert block == block[:size] + b"\r\n\r\n" and head.startswith(b"WARC/1.1\r\n") and b"X" not in fields
+        assert fields[b"WARC-Date"] == b"1970-01-01T00:00:00Z" and fields[b"WARC-Record-ID"].startswith(b"<urn:uuid:")
+        page = got[int(fields[b"X-Page-ID"]) if b"X-Page-ID" in fields else None]
+        revisit = fields[b"WARC-Type"] == b"revisit"
+        assert revisit == (page["record_type"] == "revisit") == (b"WARC-Profile" in fields)
+        assert size == (0 if revisit else page["payload_bytes"])
+        if revisit:
+            assert fields[b"WARC-Refers-To"].decode() == got[page["refers_to"]]["record_id"]
     # a damaged payload is noticed
     spark.read.parquet(f"{path}/payloads").withColumn("payload", F.lit(b"other")).write.parquet(f"{path}2/payloads")
     spark.read.parquet(f"{path}/records").write.parquet(f"{path}2/records")
