@@ -1,8 +1,9 @@
 """Token ids of whole texts by the tokenizers library, one library call per new word.
 
-The vocabulary's normaliser and splitter never join characters across an ASCII blank, so
-a text's ids are its words' ids in order. Words repeat; their ids are kept (up to LIMIT
-words a worker, later ones are encoded each time they come).
+Where a vocabulary lower-cases, and its normaliser and splitter never join characters across an
+ASCII blank, a text's ids are its words' ids in order. Words repeat; their ids are kept (up to
+LIMIT words a worker, later ones are encoded each time they come). Whether that holds is tried
+on PROBES when a vocabulary is loaded; with one where it doesn't, whole texts go to the library.
 """
 
 from __future__ import annotations
@@ -20,6 +21,21 @@ LONG = 64
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
+#: Texts that the short way must encode as the library does.
+PROBES = (
+    "Hello World, it's 3.14 of the Words. And words, more words; words.",
+    "  two  blanks\n\nlines\tand a tab\r\n",
+    "Ünïcode ÑANDÚ straße Straße café Café, naïve.",
+    "1234567 x1y2 a-b_c @home #tag 50% $9.99 (in) [out] {on}",
+    "don't we'll THEY'RE I'm you've he'd",
+    "漢字 and кириллица, Ελληνικά; עברית. 😀 end",
+    "A,B.C, d.e , f . G",
+    "word word, word. Word, Word.",
+    "special <|endoftext|> text and <s> marks </s>",
+    "internationalisation antidisestablishmentarianism aaaaaaaaaaaaaaaaaaaaaaaa",
+)
+
+
 class WordIds(dict):
     """word -> its ids as little-endian unsigned 32-bit integers."""
 
@@ -28,18 +44,22 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        # Latin-1 letters as the byte-level alphabet writes their two UTF-8 bytes
-        self.letters = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in [*range(0xDF, 0xF7), *range(0xF8, 0x100)]}
         self[""] = b""
+        self.by_word = True
+        try:
+            # Latin-1 letters as the byte-level alphabet writes their two UTF-8 bytes
+            self.letters = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in [*range(0xDF, 0xF7), *range(0xF8, 0x100)]}
+            self.by_word = all(self.encode(t) == self._whole(t) for t in PROBES)
+        except (AttributeError, IndexError):
+            self.by_word = False
+
+    def _whole(self, text: str) -> bytes:
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _encode(self, word: str) -> bytes:
         if PLAIN.fullmatch(word):
-            ids = array("I", [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))])
-        else:
-            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+            return _bytes([t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))])
+        return self._whole(word)
 
     def __missing__(self, word: str) -> bytes:
         # Letters and a following comma or stop are split by the vocabulary's pattern, so a new
@@ -54,10 +74,19 @@ class WordIds(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._whole(text)
         parts = [b"".join(map(self.__getitem__, _lower(c).replace("\n", " ").split(" "))) for c in chunks(text)]
         return parts[0] if len(parts) == 1 else b"".join(parts)
 
 
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def _lower(text: str) -> str:
     """Latin-1 text in lower case, as the vocabulary's normaliser does anyway; other text as it is.
 
