@@ -8,7 +8,9 @@ Draw: a document's key is -ln(u) / quality, u from the md5 of seed and id, so re
 and better documents come first more often. A source takes whole epochs first; the rest of
 its target goes to its documents in order of key, by a prefix sum of sizes, the last one in
 part. Prefix sums run in two levels over slices of the key range, and a source has the more
-slices the more rows it has: no task holds all rows of a source.
+slices the more rows it has: no task holds all rows of a source. Slices are even in the
+distribution of the source's own keys, a mixture over its shares of good, poor and other
+documents, so they hold about the same number of rows whatever the shares are.
 
 Defined cases: null text has size 0; null source is a source of its own, last; documents
 without a row in labels have quality 1; a null id draws like an empty one; repeated rows are
@@ -56,30 +58,38 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return t.select("source", "n", "source_size", "weight", F.least(F.coalesce(F.col("_at") * F.col("weight"), F.lit(float("inf"))), (cap * F.col("source_size")).cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED, rows: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for each row of (doc_id, text, source).
 
     quality: (doc_id, quality) with 1 good and 0 poor. taken: words the mix takes, repeats counted.
+    rows: with the whole row of docs, as a struct row.
     """
-    rows = docs.select("doc_id", "source", size(F.col("text")).alias("size"))
+    carried = [F.struct("*").alias("row")] if rows else []
+    rows = docs.select("doc_id", "source", size(F.col("text")).alias("size"), *carried)
     if quality is not None:
         known = quality.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_q"))
         rows = rows.join(known, "doc_id", "left").withColumn("_q", F.when(F.col("_q") > 0, GOOD).when(F.col("_q") <= 0, POOR).otherwise(1.0))
     else:
         rows = rows.withColumn("_q", F.lit(1.0))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 1) / float(2**52 + 1)
-    # the key's own distribution function at quality 1: monotone, and spread over 0 to 1
-    rows = cut(rows.withColumn("_key", -F.ln(u) / F.col("_q")).drop("_q"), "sizes")
-    sources = targets(rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")), weights, share, cap)
+    rows = cut(rows.withColumn("_key", -F.ln(u) / F.col("_q")), "sizes")
+    kinds = (GOOD, 1.0, POOR)
+    sums = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"), *(F.count_if(F.col("_q") == q).alias(f"_n{k}") for k, q in enumerate(kinds)))
+    # rows from tables that hold each source once
+    sums = cut(sums, "sums")
+    sources = targets(sums.select("source", "n", "source_size"), weights, share, cap)
+    sources = sources.join(sums.select(F.col("source").alias("_of"), *(f"_n{k}" for k in range(len(kinds)))), F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
     n = F.sum("n").over(Window.partitionBy())
     sources = sources.withColumn("_slices", F.ceil(F.col("n") / F.least(F.greatest(F.ceil(n / SLICES), F.lit(1)), F.lit(SLICE_ROWS))))
     sources = cut(sources, "sources")
     # one row a source, and one a slice: broadcast where few, else joined by shuffling
     sources_n, slices_n = sources.agg(F.count("*"), F.coalesce(F.sum("_slices"), F.lit(0))).first()
-    s = sources.select(F.col("source").alias("_source"), "source_size", "target", "_slices")
+    s = sources.select(F.col("source").alias("_source"), "n", "source_size", "target", "_slices", *(f"_n{k}" for k in range(len(kinds))))
     s = F.broadcast(s) if sources_n <= FEW else s
     rows = rows.join(s, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("_slice", F.least(F.floor(F.col("_slices") * (1 - F.exp(-F.col("_key")))), F.col("_slices") - 1))
+    # the distribution function of the source's keys: monotone, and even over 0 to 1
+    below = sum((F.col(f"_n{k}") * (1 - F.exp(-q * F.col("_key"))) for k, q in enumerate(kinds)), F.lit(0.0)) / F.col("n")
+    rows = rows.withColumn("_slice", F.least(F.floor(F.col("_slices") * below), F.col("_slices") - 1))
     sums = rows.groupBy(F.col("source").alias("_source"), F.col("_slice").alias("_at")).agg(F.sum("size").alias("_sum"))
     before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("_source").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum"))
     before = F.broadcast(before.drop("_sum")) if slices_n <= FEW else before.drop("_sum")
@@ -90,20 +100,14 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     epochs = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(F.lit(0))
     rest = whole - epochs * F.col("source_size") - F.col("_before") - F.col("_in")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *(["row"] if carried else []))
 
 
-def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """docs as often as the mix takes them, the last document of a source by rounding.
-
-    Joined by doc_id, source and size; docs must have the columns of documents.
-    """
-    # equal rows of one document share their copies
-    n = mixed.groupBy("doc_id", "source", "size").agg(F.sum(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0))).cast("long").alias("_copies"), F.count("*").alias("_rows"))
-    n = n.where("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies", "_rows")
-    names = docs.columns
-    found = docs.withColumn("_words", size(F.col("text"))).join(n, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round(F.col("_copies") / F.col("_rows")).cast("int"))))).select(*names)
+def take(mixed: DataFrame) -> DataFrame:
+    """The rows of mix(rows=True) as often as the mix takes them, the last document of a source by rounding."""
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    found = mixed.select("row", copies.alias("copies")).where("copies > 0")
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,19 @@
 1. language: documents whose language can't be told (no letter, or less than half of the
    evidence for one language) go.
 2. lines: each fuzzy line stays in its first place only; a document without lines left goes.
-3. near_duplicates: of each group of near copies (Jaccard 0.8 on shingles of five words) the
-   row with the smallest id stays.
+3. near_duplicates: of each group of near copies (SimHash groups of five-word shingles, checked
+   and completed at Jaccard 0.8) the row with the smallest id stays.
 4. mix: sources to their target weights; a document comes as often as the mix takes it, the
    last one of a source by rounding.
 5. pack: token ids of all documents into sequences of at most 2048.
 
+Defined cases, in every stage: rows are told apart by id and text, so rows that share an id, or
+have none, with different texts stay rows of their own; exact repeats of a row are kept or
+dropped together until near_duplicates leaves one. Null, empty and wordless texts have no
+language and go in the first stage. Of near copies with one smallest id the smallest text key
+stays, null ids come last; a null source is a source of its own. Extra columns, whatever their
+names, are kept up to mix. An empty table gives an empty result.
+
 run() has no SQL counterpart (language model, signatures, tokenizer, pattern fit): the tests
 hold it against brute force.
 """
@@ -49,7 +56,7 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return mixing.take(docs, mixing.mix(docs, labels))
+    return mixing.take(mixing.mix(docs, labels, rows=True))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
