@@ -21,6 +21,7 @@ Repeated rows are predicted alike. Extra columns are not read.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,7 +35,7 @@ from claimlake.scratch import cut
 PER_LANG, MIN_COUNT = 2_000, 2
 #: Longest n-gram; letters of a run that count as a word; scores that a worker keeps at hand.
 LONGEST, PART, KEPT = 5, 64, 4_000_000
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(rf"[^\W\d_]{{1,{PART}}}")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -47,14 +48,6 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
-def parts_of(text: str) -> list[str]:
-    """The words of a lower-cased text, longer runs of letters in parts."""
-    words = WORD.findall(text)
-    if words and max(map(len, words)) > PART:
-        return [w[i : i + PART] for w in words for i in range(0, len(w), PART)]
-    return words
-
-
 @dataclass
 class Table:
     """Log frequencies of keys: key k has those of langs[ends[k]:ends[k + 1]], the other languages rest."""
@@ -65,12 +58,24 @@ class Table:
     logs: np.ndarray
     rest: np.ndarray
 
+    def rows(self) -> np.ndarray:
+        """All rows, each less its largest value."""
+        out = np.tile(self.rest, (len(self.ends) - 1, 1))
+        out[np.repeat(np.arange(len(out)), np.diff(self.ends)), self.langs] = self.logs
+        return out - out.max(axis=1, keepdims=True)
+
     def row(self, k: int) -> np.ndarray:
         out = self.rest.copy()
         own = slice(self.ends[k], self.ends[k + 1])
         out[self.langs[own]] = self.logs[own]
         return out - out.max()
 
+    def reader(self) -> Callable:
+        """Rows by number; made at once where that takes KEPT scores at most."""
+        if (len(self.ends) - 1) * len(self.rest) <= KEPT:
+            return self.rows().__getitem__
+        return lambda ks: np.array([self.row(k) for k in ks])
+
 
 @dataclass
 class Model:
@@ -82,7 +87,7 @@ class Model:
 
 
 class _Lookup(dict):
-    """word -> row of scores, made when it is first asked for; beyond KEPT scores they are summed aside."""
+    """word -> row of scores; beyond KEPT scores the rows of unseen words are summed aside."""
 
     def __init__(self, model: Model):
         super().__init__()
@@ -90,19 +95,24 @@ class _Lookup(dict):
         n = len(model.langs)
         self.words = {w: k for k, w in enumerate(model.words.keys.split("\n"))} if n else {}
         self.grams = {g: k for k, g in enumerate(model.grams.keys.split("\n"))} if n else {}
+        self.word_rows, self.gram_rows = (model.words.reader(), model.grams.reader()) if n else (None, None)
         self.rows = np.zeros((KEPT // max(n, 1) + 1, n), dtype=np.float32)
         self.used, self.aside = 1, np.zeros(n)
+        if 0 < len(self.words) * n <= KEPT // 2:  # all known words at once, else each when it comes
+            self.used += len(self.words)
+            self.rows[1 : self.used] = self.word_rows(slice(None))
+            self.update((w, k + 1) for w, k in self.words.items())
 
     def backoff(self, word: str) -> np.ndarray | None:
         """Mean log frequencies of the longest n-grams of an unseen word that the model has."""
         for n in range(LONGEST, 0, -1):
             if known := [k for g in grams(word, n) if (k := self.grams.get(g)) is not None]:
-                return np.mean([self.model.grams.row(k) for k in known], axis=0)
+                return self.gram_rows(known).sum(axis=0) / len(known)
         return None
 
     def __missing__(self, word: str) -> int:
         k = self.words.get(word)
-        score = self.model.words.row(k) if k is not None else self.backoff(word)
+        score = self.word_rows([k])[0] if k is not None else self.backoff(word)
         if self.used < len(self.rows):
             if score is None:
                 self[word] = 0
@@ -120,7 +130,7 @@ class _Lookup(dict):
         total, any_word = np.zeros(len(self.model.langs)), False
         self.aside[:] = 0
         for part in chunks(text):
-            words = parts_of(part.lower())
+            words = WORD.findall(part.lower())
             if words:
                 any_word = True
                 total += self.rows[np.fromiter(map(self.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
@@ -141,7 +151,7 @@ def _counts(batches):
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             c = by.setdefault(lang, Counter())
             for part in chunks(text or ""):
-                c.update(parts_of(part.lower()))
+                c.update(WORD.findall(part.lower()))
         for lang, words in by.items():
             small: Counter = Counter()
             for w, n in words.items():
@@ -202,7 +212,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_col: str = "
     schema = docs.select(*[f"`{docs.columns[i]}`" for i in kept]).schema.add(lang_col, "string").add(score_col, "double")
 
     def label(batches):
-        look = _lookup(shared)
+        look = _Lookup(shared.value)  # of the task, so a worker doesn't hold it on
         for b in batches:
             langs, scores = [], []
             for t in b.column(where):
@@ -215,18 +225,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_col: str = "
     return docs.mapInArrow(label, schema)
 
 
-_tables: dict[int, _Lookup] = {}
-
-
-def _lookup(shared) -> _Lookup:
-    """One table a worker process and model."""
-    key = id(shared.value)
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = _Lookup(shared.value)
-    return _tables[key]
-
-
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = fit(docs)

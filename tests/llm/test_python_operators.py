@@ -206,3 +206,50 @@ def test_top(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     big = spark.createDataFrame([(100, [1e9, -1e9]), (1, [1e9, 1e8])], "vec_id long, embedding array<double>")
     assert topk.top_k(big).first()["score"] == 2**63 - 1 or topk.top_k(big).count() == 1
+
+
+def plain_backoff(train, text):
+    """Word-first backoff by dictionaries: (language, share) of a text."""
+    langs = sorted({x for x, _ in train}, key=lambda x: (-sum(y == x for y, _ in train), x))
+    tables = ({}, {})
+    for lang, t in train:
+        for run in re.findall(r"[^\W\d_]+", t.lower()):
+            for w in (run[i : i + 64] for i in range(0, len(run), 64)):
+                for key in [(0, w), *((1, f" {w} "[i : i + n]) for n in range(1, 6) for i in range(len(w) + 3 - n))]:
+                    at = tables[key[0]].setdefault(key[1], dict.fromkeys(langs, 0))
+                    at[lang] += 1
+    logs = []
+    for t in tables:
+        t = {k: v for k, v in t.items() if sum(v.values()) >= 2}
+        whole = {x: sum(v[x] + 0.5 for v in t.values()) for x in langs}
+        logs.append({k: np.array([np.log((v[x] + 0.5) / whole[x]) for x in langs]) for k, v in t.items()})
+    total, any_word = np.zeros(len(langs)), False
+    for run in re.findall(r"[^\W\d_]+", text.lower()):
+        for w in (run[i : i + 64] for i in range(0, len(run), 64)):
+            any_word = True
+            if w in logs[0]:
+                total += logs[0][w]
+                continue
+            for n in range(5, 0, -1):
+                known = [logs[1][g] for i in range(len(w) + 3 - n) if (g := f" {w} "[i : i + n]) in logs[1]]
+                if known:
+                    total += np.mean(known, axis=0)
+                    break
+    p = np.exp(total - total.max())
+    return (langs[int(np.argmax(total))], float(p.max() / p.sum())) if any_word else ("und", 0.0)
+
+
+def test_language_against_plain_backoff(spark, monkeypatch):
+    rng = random.Random(12)
+    docs = [(k, " ".join("".join(rng.choice(("abcde", "cdefg", "漢字仮名")[k % 3]) for _ in range(rng.choice([2, 5, 9, 150]))) for _ in range(12)), ("aa", "bb", "cc")[k % 3] if k % 5 else None, None, 1) for k in range(150)]
+    df = spark.createDataFrame(docs, empty(spark).schema)
+    fold = {r["doc_id"]: r["h"] for r in df.select("doc_id", language.held_out(F.col("doc_id")).alias("h")).collect()}
+    train = [(lang, t) for k, t, lang, *_ in docs if lang and not fold[k]]
+    want = {k: plain_backoff(train, t) for k, t, *_ in docs}
+    model = language.fit(df)
+    for kept in (language.KEPT, 30):  # with room for all rows, and for hardly any
+        monkeypatch.setattr(language, "KEPT", kept)
+        look = language._Lookup(model)
+        for k, t, *_ in docs:
+            best, share = look.score(t)
+            assert model.langs[best] == want[k][0] and abs(share - want[k][1]) < 1e-3
