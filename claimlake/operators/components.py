@@ -2,16 +2,21 @@
 
 Every round replaces the edges of a node by edges to the smallest node it can see.
 Nothing but two counts reaches the driver. A hub's rows meet in a join (which AQE
-may split) and in a min() that is combined before the shuffle.
+may split) and in a min() that is combined before the shuffle. A table of at most FEW
+edges, counted first, is settled by union-find in one task instead: rounds over so few
+rows are all start-up.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlake.scratch import cut, drop
 
+FEW = 10_000
+
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """One star step on edges (hi, lo), hi > lo."""
@@ -28,6 +33,34 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.distinct()
 
 
+def _settled(edges: DataFrame) -> DataFrame:
+    """(hi, lo): each node that isn't its component's smallest, and that one."""
+
+    def run(batches):
+        root: dict = {}
+
+        def find(x):
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up]
+                x = up
+            return x
+
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                lo, hi = sorted((find(x), find(y)))
+                root[hi] = lo
+        found = [(x, r) for x in list(root) if (r := find(x)) != x]
+        yield pa.RecordBatch.from_pydict({"hi": [x for x, _ in found], "lo": [r for _, r in found]}, schema=arrow)
+
+    arrow = pa.schema([("hi", _arrow(edges)), ("lo", _arrow(edges))])
+    return edges.coalesce(1).mapInArrow(run, edges.schema)
+
+
+def _arrow(edges: DataFrame) -> pa.DataType | None:
+    """Of the nodes; None for other kinds of ids, which take the rounds."""
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(dict(edges.dtypes)["hi"])
+
+
 def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """(node, component) for each node of an undirected edge table.
 
@@ -41,6 +74,8 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
 
     now, before = mark(links), None
+    if 0 < now[0] <= FEW and _arrow(links):
+        links, before = cut(_settled(links), "star"), now
     while now[0] and now != before:
         old, before = links, now
         links = cut(_star(_star(old, small=False), small=True), "star")

@@ -1,6 +1,8 @@
+import pytest
 import random
 
 from claimlake.operators import dedup, threads, versions
+from claimlake.operators import components as components_module
 from claimlake.operators.components import components
 
 
@@ -42,7 +44,9 @@ def test_header_threads(spark):
     assert got == {("a", "b", 0), ("a", "a", 1), ("a", "c", 2), ("gone", "d", 0)}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10_000])  # rounds of stars, and one task
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components_module, "FEW", few)
     rng = random.Random(3)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 3)]
     parent = {}
