@@ -46,7 +46,7 @@ GROUP = 32
 FEW = 100_000
 #: Bits of the filters that tasks share, whatever the number of lines or bands: what they let
 #: through by chance costs time, not results.
-SIEVE = 1 << 27
+SIEVE = 1 << 25
 #: Slots by which shingles of large bands are counted.
 SLOTS = 1 << 20
 BLANKS = " \t\r\x0b\x0c"
@@ -178,6 +178,8 @@ def _alike(pairs: DataFrame, texts: DataFrame, similar: float, sets: Sets) -> Da
 def _joined(members: DataFrame, links: DataFrame) -> DataFrame:
     """members, written, with the labels that links (la, lb) between labels leave."""
     found = cut(components(links, "la", "lb"), "labels")
+    if found.isEmpty():
+        return members
     few = F.broadcast if found.count() <= FEW else lambda x: x
     new = found.select(F.col("node").alias("label"), F.col("component").alias("_new"))
     named = members.join(few(new), "label", "left").withColumn("label", F.coalesce("_new", "label"))
@@ -209,8 +211,9 @@ def _rarest(many: DataFrame, texts: DataFrame, similar: float, sets: Sets) -> Da
         for k in range(0, len(used), 1 << 16):
             yield pa.record_batch([pa.array(used[k : k + (1 << 16)]), pa.array(seen[used[k : k + (1 << 16)]])], names=["slot", "lines"])
 
-    sums = rows.select("text").mapInArrow(count, "slot long, lines long").groupBy("slot").agg(F.sum("lines").alias("lines")).toArrow()  # SLOTS rows at most
-    often = np.zeros(SLOTS, dtype=np.int64)
+    sums = rows.select("text").mapInArrow(count, "slot long, lines long").groupBy("slot").agg(F.sum("lines").alias("lines")).where("lines > 1")
+    sums = sums.select(F.col("slot").cast("int"), F.least("lines", F.lit((1 << 31) - 1)).cast("int").alias("lines")).toArrow()  # SLOTS rows at most
+    often = np.zeros(SLOTS, dtype=np.int32)
     often[sums["slot"].to_numpy()] = sums["lines"].to_numpy()
     shared = many.sparkSession.sparkContext.broadcast(often)
 

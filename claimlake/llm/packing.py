@@ -34,8 +34,8 @@ SHARE = 1_000_000
 
 def patterns(seq: int) -> np.ndarray:
     """Rows of three lengths, descending, 0 for none, that sum to seq."""
-    a = np.arange(1, seq + 1)
-    first, second = (x.ravel() for x in np.meshgrid(a, np.arange(0, seq), indexing="ij"))
+    a = np.arange(1, seq + 1, dtype=np.int32)
+    first, second = (x.ravel() for x in np.meshgrid(a, np.arange(0, seq, dtype=np.int32), indexing="ij"))
     third = seq - first - second
     ok = (first >= second) & (third >= 0) & (second >= third)
     return np.stack([first[ok], second[ok], third[ok]], axis=1)
