@@ -37,8 +37,9 @@ from claimlake.operators.components import components
 from claimlake.scratch import cut, drop
 
 SIMILAR, BANDS, WIDTH, TINY = 0.8, 9, 4, 3
-#: Times that a band's lines meet a leader before what is left meets in pairs.
-ROUNDS = 2
+#: Times that a band's lines meet a leader before what is left meets in pairs: of all bands, and
+#: after that of bands of more than GROUP lines.
+ROUNDS, MORE = 2, 3
 #: Lines of a band (linked ones count too) that meet in pairs; those of larger bands meet by
 #: their rarest shingles, which loses no pair either.
 GROUP = 32
@@ -262,7 +263,7 @@ def fuzzy_labels(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, te
     the shingles of a line, written; a line may repeat. texts_of(docs, wanted) gives the texts of
     the lines that share a band, sets the shingle sets of texts.
 
-    ROUNDS rounds compare the lines of a band with a leader drawn by hash, except those that
+    Rounds compare the lines of a band with a leader drawn by hash, except those that
     links already join to it, so a band of many copies costs one comparison each. What then is
     not yet joined within a band meets in pairs; lines of a band of more than GROUP meet all lines
     of such bands that share one of their rarest shingles instead, which no pair similar enough
@@ -276,9 +277,10 @@ def fuzzy_labels(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, te
     def could(n: str, m: str) -> Column:
         return F.least(n, m) >= similar * F.greatest(n, m)
 
-    for round_ in range(ROUNDS):
+    for round_ in range(ROUNDS + MORE):
         leader = F.min(F.struct(F.xxhash64("line", F.lit(round_)), F.col("line").alias("l"), F.col("label").alias("ll"), F.col("n").alias("ln"))).alias("x")
-        open_ = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), leader).where("lo < hi").select("band", "x.l", "x.ll", "x.ln")
+        open_ = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), leader).where("lo < hi")
+        open_ = open_.where(F.col("m") > (GROUP if round_ >= ROUNDS else 0)).select("band", "x.l", "x.ll", "x.ln")
         met = members.join(open_, "band").where((F.col("label") != F.col("ll")) & could("n", "ln"))
         pairs = met.select(F.col("line").alias("a"), F.col("l").alias("b"), F.col("label").alias("la"), F.col("ll").alias("lb")).distinct()
         members = _joined(members, _alike(pairs, texts, similar, sets))
