@@ -47,7 +47,7 @@ GROUP = 32
 FEW = 100_000
 #: Bits of the filters that tasks share, whatever the number of lines or bands: what they let
 #: through by chance costs time, not results.
-SIEVE = 1 << 25
+SIEVE = 1 << 27
 #: Slots by which shingles of large bands are counted.
 SLOTS = 1 << 20
 BLANKS = " \t\r\x0b\x0c"
@@ -238,7 +238,7 @@ def _rarest(many: DataFrame, texts: DataFrame, similar: float, sets: Sets) -> Da
 
 
 def _members(lines: DataFrame) -> DataFrame:
-    """(line, n, band) of the bands that two lines or more share, distinct; few others."""
+    """(line, n, band) of the bands that two lines or more share, distinct."""
     small_batches(lines.sparkSession)
     # half of a line's hash tells the lines of a band apart: two that agree in it are missed in 1 of 2^32 bands
     half = F.shiftright("line", 32).cast("int")
@@ -254,7 +254,10 @@ def _members(lines: DataFrame) -> DataFrame:
             at = pa.array(np.searchsorted(ends - ends[0], own, side="right") - 1)
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(bands[own])], names=["line", "n", "band"])
 
-    return lines.select("line", "n", "bands").mapInArrow(run, "line long, n int, band long").distinct()
+    found = cut(lines.select("line", "n", "bands").mapInArrow(run, "line long, n int, band long").distinct(), "shared")
+    # without what the filter let through by chance
+    real = cut(found.groupBy("band").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo < hi").select("band"), "bands")
+    return _only(found, real, "band")
 
 
 def fuzzy_labels(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, texts_of: Callable[[DataFrame, DataFrame], DataFrame] = line_texts, sets: Sets = line_sets) -> DataFrame:
