@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 
 from claimlake.functions.schemas import EMAIL, EXTRACTION
 from claimlake.functions.text import prompt_hash
-from claimlake.operators import dedup, extract, noise, reports, select, threads
+from claimlake.operators import dedup, extract, noise, reports, select, threads, versions
 from claimlake.plans import enrich
+from claimlake.scratch import cut
 from claimlake.sources import mail, tables
 
 
 def _mails(spark: SparkSession, path: str):
-    return tables.read_jsonl(spark, path, EMAIL).withColumn("ord", F.struct("message_id"))
+    return tables.read_ordered(spark, path, EMAIL)
+
+
+def _keyed(spark: SparkSession, path: str):
+    """One mail an id, the last one."""
+    return tables.read_keyed(spark, path, EMAIL, "message_id")
 
 
 def main(args: list[str] | None = None) -> None:
@@ -51,6 +57,12 @@ def main(args: list[str] | None = None) -> None:
     c = command("review", "items")
     c.add_argument("start", type=int)
     c.add_argument("count", type=int)
+    c.add_argument("--mails", help="show each item beside its mail")
+    c = command("extract", "mails", "done", "out")
+    c.add_argument("--prompt", default="")
+    c.add_argument("--limit", type=int, default=extract.DAILY_LIMIT, help="0 for all")
+    c.add_argument("--pace", type=float, default=0.0)
+    command("versions", "extractions")
     c = command("sample", "mails", "out")
     c.add_argument("n", type=int)
     a = p.parse_args(args)
@@ -62,7 +74,7 @@ def main(args: list[str] | None = None) -> None:
     if a.command == "ingest":
         mail.parse(mail.files(spark, a.folder, a.limit)).write.mode("overwrite").parquet(f"{a.out}/all")
         done = spark.read.parquet(f"{a.out}/all")
-        tables.write_jsonl(mail.parsed(done).drop("path"), f"{a.out}/mails")
+        tables.write_jsonl(mail.parsed(done), f"{a.out}/mails")
         tables.write_jsonl(mail.failures(done), f"{a.out}/failures")
     elif a.command == "peek":
         n, first = mail.peek(spark, a.folder)
@@ -86,12 +98,23 @@ def main(args: list[str] | None = None) -> None:
         print(tables.one_row(dedup.summary(groups)))
     elif a.command == "enrich":
         items = extract.to_items(tables.read_jsonl(spark, a.extractions, EXTRACTION))
-        print(tables.one_row(enrich.run(items, _mails(spark, a.mails), digest(a.prompt), a.model, a.out).report))
+        print(tables.one_row(enrich.run(items, _keyed(spark, a.mails), digest(a.prompt), a.model, a.out).report))
     elif a.command == "reextract":
-        out = extract.reextract_stale(_mails(spark, a.mails), tables.read_jsonl(spark, a.extractions, EXTRACTION), digest(a.prompt), a.model, limit=a.limit, dry_run=a.dry_run)
+        out = extract.reextract_stale(_keyed(spark, a.mails), tables.read_jsonl(spark, tables.first_existing(spark, a.extractions.split(",")), EXTRACTION), digest(a.prompt), a.model, limit=a.limit, dry_run=a.dry_run)
         out.show(truncate=False) if a.dry_run else tables.write_jsonl(out, a.out)
     elif a.command == "review":
-        select.page(spark.read.parquet(a.items), a.start, a.count, ("message_id", "field", "idx")).show(truncate=False)
+        found = select.page(spark.read.parquet(a.items), a.start, a.count, ("message_id", "field", "idx"))
+        if a.mails:
+            found = found.join(_keyed(spark, a.mails).select("message_id", "from_addr", "subject", "date", "body"), "message_id", "left")
+        found.orderBy("message_id", "field", "idx").show(truncate=False)
+    elif a.command == "extract":
+        done = spark.read.parquet(a.done) if tables.exists(spark, a.done) else spark.createDataFrame([], "message_id string")
+        found = cut(extract.run_batch(_keyed(spark, a.mails), done, limit=a.limit or None, pace_s=a.pace), "extracted")
+        tables.write_jsonl(extract.results(found, digest(a.prompt), "rules"), a.out, append=True)
+        versions.mark_done(found.where("status <> 'retry'").select("message_id"), a.done)
+        print(tables.one_row(found.agg(F.count("*").alias("mails"), *(F.count_if(F.col("status") == s).alias(s) for s in ("done", "failed", "retry")))))
+    elif a.command == "versions":
+        versions.report(tables.read_jsonl(spark, a.extractions, EXTRACTION)).show(truncate=False)
     elif a.command == "sample":
         tables.write_jsonl(select.sample(_mails(spark, a.mails).where("body <> ''"), a.n).drop("ord"), a.out)
 

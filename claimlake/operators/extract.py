@@ -77,6 +77,10 @@ def _call(model: Callable[[str], str], prompt: str, sleep: Callable[[float], Non
     return None, error, "retry"
 
 
+#: Tasks that call the model at once where a limit is set.
+CALLS = 8
+
+
 def extract(mails: DataFrame, model: Callable[[str], str] = rule_model, repairs: int = REPAIRS, pace_s: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """(message_id, output, error, status): status done, failed (for good) or retry (try another day).
 
@@ -102,12 +106,14 @@ def results(found: DataFrame, prompt_version: str = "", model_name: str = "") ->
     return rows.select("message_id", "prompt_version", "model_name", *(f"o.{f}" for f in FIELDS)).to(found.sparkSession.createDataFrame([], EXTRACTION).schema)
 
 
-def run_batch(mails: DataFrame, done: DataFrame, model: Callable[[str], str] = rule_model, limit: int = DAILY_LIMIT, ord: tuple[str, ...] = ("ord",), **options) -> DataFrame:
-    """extract() for the next limit mails, in ingest order, whose id isn't done.
+def run_batch(mails: DataFrame, done: DataFrame, model: Callable[[str], str] = rule_model, limit: int | None = DAILY_LIMIT, ord: tuple[str, ...] = ("ord",), calls: int = CALLS, **options) -> DataFrame:
+    """extract() for the next limit mails (None: all), in ingest order, whose id isn't done.
 
     The caller appends the result, then the ids with status done or failed to the done table.
     """
-    rows = mails.join(done.select("message_id"), "message_id", "left_anti").orderBy(*ord).limit(limit)
+    rows = versions.pending(mails, done)
+    if limit is not None:  # a limit leaves one partition, and calls take their time
+        rows = rows.orderBy(*ord).limit(limit).repartition(calls)
     return extract(rows, model, **options)
 
 
@@ -120,8 +126,8 @@ def reextract_stale(mails: DataFrame, extractions: DataFrame, prompt_version: st
     old = versions.stale(extractions, prompt_version).select("message_id").distinct()
     if dry_run:
         return old if limit is None else old.orderBy("message_id").limit(limit)
-    rows = mails.join(old, "message_id", "left_semi").orderBy(*ord)
-    rows = rows if limit is None else rows.limit(limit)
+    rows = mails.join(old, "message_id", "left_semi")
+    rows = rows if limit is None else rows.orderBy(*ord).limit(limit).repartition(CALLS)
     return versions.upsert(extractions, cut(results(extract(rows, model, **options), prompt_version, model_name), "reextracted"))
 
 

@@ -12,6 +12,7 @@ from claimlake.operators import dedup, evidence, extract, graph, noise, reports,
 from claimlake.plans import enrich
 from claimlake.plans.views import spark_views, with_views
 from claimlake.scratch import cut, new_path
+from claimlake.sources import mail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -151,10 +152,10 @@ def graph_ids(spark, d):
     return people.select("message_id", _long("idx"), X.person_key(F.col("name")).alias("person_id"), X.decision_key(F.col("message_id"), F.col("name")).alias("decision_id"), X.deal_key(long_name).alias("deal_id"))
 
 
-@query("select doc_id, array_to_string(list_filter(list_transform(string_split(substr(text, 1, 200), ','), lambda x: trim(replace(x, chr(10), ' '))), lambda x: x <> ''), '|') parts from documents")
+@query("select doc_id, array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: trim(replace(x, chr(10), ' '))), lambda x: x <> ''), '|') parts from documents")
 def address_split(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    parts = X.address_list(F.replace(F.substring("text", 1, 200), F.lit("\n"), F.lit(" ")))
+    parts = X.address_list(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))
     return docs.select("doc_id", F.array_join(parts, "|").alias("parts"))
 
 
@@ -165,7 +166,9 @@ def date_validate(spark, d):
     months = F.array(*(F.lit(m) for m in ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")))
     made = F.format_string("Mon, %d %s %d %02d:30:00 %s", 1 + i % 28, F.get(months, (i % 12).cast("int")), 1990 + i % 20, i % 24, F.when(i % 2 == 0, "+0000 (GMT)").otherwise("+0700"))
     value = F.when(i % 7 == 0, F.lit("not a date")).otherwise(made)
-    return e.select("event_id", X.mail_date(value).cast("timestamp_ntz").alias("utc"))
+    # as ingest reads it, from a whole message
+    raw = e.select(i.cast("string").alias("path"), F.concat(F.lit("Date: "), value, F.lit("\n\nbody")).cast("binary").alias("content"))
+    return mail.parse(raw).select(F.col("path").cast("long").alias("event_id"), F.to_timestamp("date").cast("timestamp_ntz").alias("utc"))
 
 
 @query("select conv_id, turn, case when turn % 3 <> 2 then 1 else 0 end::bigint valid, case when turn % 3 <> 2 then role end person from conversations")
@@ -655,8 +658,6 @@ def graph_uniqueness(spark, d):
 @query()
 def ingest_eml(spark, d):
     """Mails written as RFC-822 files by Spark, listed and parsed again."""
-    from claimlake.sources import mail
-
     (mails,) = spark_views(spark, d, "emails")
     raw = mails.select(F.concat(F.lit("Message-ID: "), "message_id", F.lit("\nFrom: "), "from_addr", F.lit("\nTo: a@b, c@d\nSubject: "), "subject", F.lit("\nDate: Mon, 14 May 2001 16:39:00 -0700 (PDT)\nX-Origin: "), "x_origin", F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), "body").alias("value"))
     path = new_path(spark, "eml")
@@ -671,7 +672,7 @@ def offline_extract(spark, d):
     (mails,) = spark_views(spark, d, "emails")
     mails = mails.withColumn("to_addrs", F.array().cast("array<string>"))
     done = mails.where("turn = 0").select("message_id")
-    found = extract.run_batch(mails, done, limit=10_000)
+    found = extract.run_batch(mails, done, limit=None)
     return extract.to_items(extract.results(found, "v1", MODEL)).select("message_id", "field", _long("idx"), "name", "evidence")
 
 

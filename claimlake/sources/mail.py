@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimlake.functions import text as X
+
 # Fixed values
 YEARS = (1995, 2005)
 
@@ -44,12 +46,8 @@ def iso_date(value: str | None) -> str | None:
     return found.isoformat() if YEARS[0] <= found.year <= YEARS[1] else None
 
 
-def _addresses(value: str | None) -> list[str]:
-    return [x for x in (part.strip() for part in (value or "").split(",")) if x]
-
-
 def decode(raw: bytes) -> dict:
-    """One message's record; raises if it can't be decoded."""
+    """One message's record, lists as they stand in the headers; raises if it can't be decoded."""
     m = email.message_from_bytes(raw, policy=email.policy.default)
     text = lambda name: str(m[name]).strip() if m[name] is not None else ""
     as_is = lambda name: str(m[name]) if m[name] is not None else None
@@ -57,15 +55,15 @@ def decode(raw: bytes) -> dict:
     return {
         "message_id": text("Message-ID"),
         "from_addr": text("From"),
-        "to_addrs": _addresses(as_is("To")),
-        "cc_addrs": _addresses(as_is("Cc")),
+        "to_addrs": as_is("To"),
+        "cc_addrs": as_is("Cc"),
         "subject": text("Subject"),
         "date": iso_date(text("Date")),
         "body": part.get_content().strip() if part is not None else "",
         "x_folder": text("X-Folder"),
         "x_origin": text("X-Origin"),
         "in_reply_to": as_is("In-Reply-To"),
-        "references": (as_is("References") or "").split(),
+        "references": as_is("References"),
         "x_from_display": as_is("X-From"),
         "x_to_display": as_is("X-To"),
         "x_cc_display": as_is("X-cc"),
@@ -86,7 +84,10 @@ def parse(found: DataFrame) -> DataFrame:
                     rows.append({"path": path, "error": f"{type(e).__name__}: {e}"})
             yield pd.DataFrame(rows, columns=names).astype(object).where(lambda x: x.notna(), None)
 
-    return found.mapInPandas(run, RECORD)
+    rows = found.mapInPandas(run, RECORD.replace("array<string>", "string"))
+    failed = F.col("error").isNotNull()
+    lists = {c: F.when(~failed, X.address_list(F.col(c))) for c in ("to_addrs", "cc_addrs")}
+    return rows.withColumns(lists | {"references": F.when(~failed, X.reference_list(F.col("references")))})
 
 
 def parsed(records: DataFrame) -> DataFrame:

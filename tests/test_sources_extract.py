@@ -102,3 +102,15 @@ def test_commands(spark, tmp_path):
         raise RuntimeError("no")
 
     assert all(e == "no" for _, e in graph.issue(refuse))
+    # a mail that comes twice counts once, with what its last file says
+    (tmp_path / "in" / "9").write_text(RAW.replace("<1@x>", "<0@x>").replace("Body", "Later"))
+    main(["ingest", str(tmp_path / "in"), out])
+    from claimlake.functions.schemas import EMAIL
+
+    assert {r["message_id"]: r["body"] for r in tables.read_keyed(spark, f"{out}/mails", EMAIL, "message_id").collect()} == {"<0@x>": "Later text", "<1@x>": "Body text", "<2@x>": "Body text"}
+    ordered = [r["message_id"] for r in tables.read_ordered(spark, f"{out}/mails", EMAIL).orderBy("ord").collect()]
+    assert ordered == ["<0@x>", "<1@x>", "<2@x>", "<0@x>"]
+    for _ in range(2):  # two a day
+        main(["extract", f"{out}/mails", f"{out}/done", f"{out}/extractions", "--limit", "2"])
+    assert sorted(r[0] for r in spark.read.parquet(f"{out}/done").collect()) == ["<0@x>", "<1@x>", "<2@x>"]
+    assert spark.read.schema(EXTRACTION).json(f"{out}/extractions").count() == 3
