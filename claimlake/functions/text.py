@@ -95,8 +95,13 @@ def group_reason(digest: Column) -> Column:
     return F.concat(F.lit("Identical normalized body (SHA-256: "), F.substring(digest, 1, 12), F.lit("…)"))
 
 
+def estimate(length: Column) -> Column:
+    """Tokens of a text of so many characters."""
+    return F.floor(length / 4).cast("long")
+
+
 def token_estimate(c: Column) -> Column:
-    return F.floor(F.length(c) / 4).cast("long")
+    return estimate(F.length(c))
 
 
 def address_list(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlake.functions.text import token_estimate
+from claimlake.functions.text import estimate
 from claimlake.operators.scoring import failure_category
 
 # Fixed values
@@ -39,21 +39,22 @@ def data_quality(mails: DataFrame, attempted: int | None = None) -> DataFrame:
     )
 
 
-def _ranks(values: DataFrame, col: str, wanted: tuple) -> DataFrame:
-    """One row with the value at index floor(p * n) for each (name, p).
+def _ranks(values: DataFrame, col: str, wanted: tuple, *more: Column) -> DataFrame:
+    """One row with the value at index floor(p * n) for each (name, p); more: aggregates over the
+    distinct values v, which occur c times each.
 
     Values are counted first, so what is sorted in one place are distinct values, not rows.
     """
     counts = values.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("c"))
     run = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    return run.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), *(F.min(F.when(F.col("upto") > F.floor(F.lit(p) * F.col("n")), F.col("v"))).alias(name) for name, p in wanted))
+    return run.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), *(F.min(F.when(F.col("upto") > F.floor(F.lit(p) * F.col("n")), F.col("v"))).alias(name) for name, p in wanted), *more)
 
 
 def length_quantiles(mails: DataFrame) -> DataFrame:
     """(n, min, max, p50, p90, p95, p99, over_limit) of body lengths."""
     rows = mails.select(F.length(F.coalesce("body", F.lit(""))).cast("long").alias("length"))
-    over = mails.agg(F.count_if(token_estimate(F.coalesce("body", F.lit(""))) > TOKEN_LIMIT).alias("over_limit"))
-    return _ranks(rows, "length", QUANTILES).join(F.broadcast(over))
+    over = F.coalesce(F.sum(F.when(estimate(F.col("v")) > TOKEN_LIMIT, F.col("c"))), F.lit(0)).alias("over_limit")
+    return _ranks(rows, "length", QUANTILES, over)
 
 
 def extraction_totals(items: DataFrame, extractions: DataFrame) -> DataFrame:
@@ -97,8 +98,8 @@ def affects_resolution(items: DataFrame, affects: DataFrame) -> DataFrame:
 
 def confidence_quantiles(scored: DataFrame) -> DataFrame:
     """(n, average, p10, p25, p50)."""
-    q = _ranks(scored, "confidence", (("p10", 0.1), ("p25", 0.25), ("p50", 0.5))).drop("min", "max")
-    return q.join(F.broadcast(scored.agg(F.round(F.avg("confidence"), 4).alias("average"))))
+    average = F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 4).alias("average")
+    return _ranks(scored, "confidence", (("p10", 0.1), ("p25", 0.25), ("p50", 0.5)), average).drop("min", "max")
 
 
 def confidence_buckets(scored: DataFrame) -> DataFrame:

@@ -59,9 +59,20 @@ def roots(edges: DataFrame) -> DataFrame:
     return found.select(F.col("node").alias("message_id"), F.col("at").alias("root"))
 
 
-def _ranked(rows: DataFrame, ord: tuple[str, ...]) -> DataFrame:
-    order = Window.partitionBy("thread_id").orderBy(F.coalesce("date", F.lit("9999")), *ord)
-    return rows.select("thread_id", "message_id", (F.row_number().over(order) - 1).alias("position"))
+def _numbered(rows: DataFrame, key: str, ord: tuple[str, ...]) -> DataFrame:
+    """rows with position, the place within key by date and ord, and first, the id at place 0.
+
+    Rows are dealt by range of key and order, so a key that very many mails share has slices in
+    many tasks; each slice is numbered alone, after the rows of the key's slices before it.
+    """
+    order = [F.coalesce("date", F.lit("9999")), *ord]
+    dealt = cut(rows.repartitionByRange(key, *order).withColumn("_slice", F.spark_partition_id()), "dealt")
+    slices = dealt.groupBy(key, "_slice").agg(F.count("*").alias("_n"), F.min_by("message_id", F.struct(*order)).alias("_first"))
+    before = Window.partitionBy(key).orderBy("_slice")
+    start = F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = slices.select(key, "_slice", start.alias("_start"), F.first("_first").over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("first"))
+    rank = F.row_number().over(Window.partitionBy(key, "_slice").orderBy(*order))
+    return dealt.join(slices, [key, "_slice"]).withColumn("position", (F.col("_start") + rank - 1).cast("int")).select(*rows.columns, "position", "first")
 
 
 def by_headers(mails: DataFrame, ord: tuple[str, ...] = ("ord",)) -> DataFrame:
@@ -71,7 +82,7 @@ def by_headers(mails: DataFrame, ord: tuple[str, ...] = ("ord",)) -> DataFrame:
     mails = mails.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
     found = roots(parents(mails).where("parent is not null"))
     rows = mails.select("message_id", "date", *ord).join(found, "message_id", "left")
-    return _ranked(rows.withColumn("thread_id", F.coalesce("root", "message_id")), ord)
+    return _numbered(rows.withColumn("thread_id", F.coalesce("root", "message_id")), "thread_id", ord).select("thread_id", "message_id", "position")
 
 
 def by_subject(mails: DataFrame, ord: tuple[str, ...] = ("ord",)) -> DataFrame:
@@ -80,10 +91,7 @@ def by_subject(mails: DataFrame, ord: tuple[str, ...] = ("ord",)) -> DataFrame:
     rows = mails.select("message_id", "date", *ord, subject_form(F.col("subject")).alias("_s"))
     # the two kinds of key can't meet: a subject's has a prefix that an id's hasn't
     key = F.when(F.col("_s") == "", F.concat(F.lit("i:"), F.col("message_id"))).otherwise(F.concat(F.lit("s:"), F.col("_s")))
-    order = Window.partitionBy("_key").orderBy(F.coalesce("date", F.lit("9999")), *ord)
-    rows = rows.withColumn("_key", key).withColumn("position", F.row_number().over(order) - 1)
-    rows = rows.withColumn("thread_id", F.first("message_id").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.select("thread_id", "message_id", "position")
+    return _numbered(rows.withColumn("_key", key), "_key", ord).select(F.col("first").alias("thread_id"), "message_id", "position")
 
 
 def rebuild(mails: DataFrame, ord: tuple[str, ...] = ("ord",)) -> DataFrame:

