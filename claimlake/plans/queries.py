@@ -575,6 +575,19 @@ def near_groups(spark, d):
     return dedup.near_groups(v, mails, NEAR).select("primary_id", F.array_join("duplicate_ids", ",").alias("duplicate_ids"), "similarity")
 
 
+@query(
+    f"""with recursive {_EXACT}, gone as (select message_id from members where not is_primary), {_PAIRS.replace("from embeddings)", "from embeddings where vec_id::varchar in (select message_id from h) and vec_id::varchar not in (from gone))")}, {_MEMBERS}, sizes as (select component, count(*) n from comp group by 1),
+means as (select x.component, avg(list_inner_product(p.e, q.e)) m from comp x join comp y on x.component = y.component and x.id < y.id join v p on p.vec_id = x.id join v q on q.vec_id = y.id group by 1),
+rk as (select c.component, message_id, row_number() over (partition by c.component order by date, l desc, message_id) r from comp c join h on h.message_id = c.id::varchar)
+select max(case when is_primary then message_id end) primary_id, string_agg(case when not is_primary then message_id end, ',' order by message_id) duplicate_ids, 'exact' as "method", 1.0::double similarity from members group by digest
+union all select max(case when r = 1 then message_id end), string_agg(case when r > 1 then message_id end, ',' order by message_id), 'near', round(case when any_value(n) <= 10 then any_value(m) else {NEAR} end, 4)::double from rk join sizes using (component) join means using (component) group by component"""
+)
+def dedup_run(spark, d):
+    """Exact groups, then near ones among the rest; documents are mails, a vector belongs to the mail of its id."""
+    vectors = _vectors(spark, d).withColumn("message_id", F.col("vec_id").cast("string"))
+    return dedup.run(_document_mails(spark, d), vectors, NEAR).select("primary_id", F.array_join("duplicate_ids", ",").alias("duplicate_ids"), "method", "similarity")
+
+
 # ---- selection ------------------------------------------------------------------------------
 
 
