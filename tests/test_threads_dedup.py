@@ -90,3 +90,19 @@ def test_versions(spark):
     assert versions.stale(old, "new").count() == 2
     new = spark.createDataFrame([("b", "new", 9)], old.schema)
     assert sorted((r[0], r[1]) for r in versions.upsert(old, new).collect()) == [("a", "new"), ("a", "old"), ("b", "new")]
+
+
+def test_positions_over_slices(spark):
+    """A subject whose mails lie in several slices, with ties in date and mails without one."""
+    mails = spark.range(400).selectExpr("cast(id as string) message_id", "if(id % 9 = 0, null, concat('2001-01-0', id % 5)) date", "id ord", "if(id % 20 = 0, concat('other', id), 'Re: common') subject")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        dealt = mails.repartitionByRange("subject", "date", "ord").where("subject = 'Re: common'")
+        assert dealt.selectExpr("spark_partition_id() p").distinct().count() > 1
+        got = {(r["thread_id"], r["position"]): r["message_id"] for r in threads.by_subject(mails).collect()}
+    finally:
+        spark.conf.unset(coalesce)
+    common = sorted((k for k in range(400) if k % 20), key=lambda k: ("9999" if k % 9 == 0 else f"2001-01-0{k % 5}", k))
+    want = {(str(common[0]), n): str(k) for n, k in enumerate(common)} | {(str(k), 0): str(k) for k in range(0, 400, 20)}
+    assert got == want
