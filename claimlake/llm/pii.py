@@ -258,7 +258,12 @@ def redact(found: DataFrame) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     parts = F.filter(F.split("base", ","), lambda x: x != "")
-    counts = [F.size(F.filter(parts, lambda x, k=k: x.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in KINDS]
+
+    def count(kind):
+        # a second parameter of the lambda, even a default, would be the place in the array
+        return F.size(F.filter(parts, lambda x: x.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -166,6 +167,19 @@ def test_disclosure(spark):
     assert pii.find(empty(spark)).count() == 0
 
 
+def test_pii_query(spark, tmp_path):
+    texts = ["a@b.co, c@d.eu and 1.2.3.4", "card 4111 1111 1111 1111, call +49 (30) 1234-5678", "300.1.1.1", "", None, "😀 x@y.z\n+1-800-555-0199 \x00 0.0.0.0"]
+    rows = [(k % 4 or None, t, None, None, 1) for k, t in enumerate(texts * 2)]
+    spark.createDataFrame(rows, empty(spark).schema).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r)[:-1] for r in pii.op9_pii(spark, str(tmp_path)).collect()]
+    want = []
+    for k, t, *_ in rows:
+        spans = plain_spans(t or "")
+        text = ",".join(f"{kind}:{a}:{b}" for kind, a, b in spans)
+        want.append((k, *(sum(s[0] == kind for s in spans) for kind in pii.KINDS), hashlib.sha256(text.encode()).hexdigest()))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_language(spark):
     docs = documents(spark, n=200, extra=True)
     model = language.fit(docs)
