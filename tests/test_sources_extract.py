@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -24,6 +25,34 @@ def test_mail_files(spark, tmp_path):
     assert mail.iso_date("Tue, 31 Dec 1979 23:59:00 -0000") is None and mail.iso_date("x") is None
 
 
+def test_mailboxes(spark, tmp_path):
+    bodies = ["plain", "From here\n>From there\n>>From\n\nFrom x\n", "", "\n\nFrom a\rFrom b\n\n\n", "é😀\r\nFrom c\n>", "> From"] + [f"From {k}\n" * (k % 40) + "\n" * (k % 3) for k in range(300)]
+    raw = [f"Message-ID: <{k}@x>\nFrom: a@x\nTo: b@x\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n{b}" for k, b in enumerate(bodies)]
+    mail.write_mailboxes(spark.createDataFrame([(r,) for r in raw], "value string").coalesce(2), str(tmp_path / "in" / "deep"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (before, "777"):  # parted anywhere
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            records = mail.parse(mail.mailboxes(spark, str(tmp_path / "in")), quoted=True).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        want = sorted((m["message_id"], m["body"]) for m in (mail.decode(r.encode()) for r in raw))
+        assert sorted((r["message_id"], r["body"]) for r in records) == want and not any(r["error"] for r in records)
+        assert len({r["path"] for r in records}) == len(raw)
+
+
+def test_ingest_files_do_not_grow(spark, sf_dir):
+    """Files follow partitions: one a mail made 5012 at sf0.1."""
+    from claimlake.plans import queries
+    from claimlake.scratch import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    count = lambda: sum(1 for _ in folder.rglob("part-*"))
+    before = count()
+    mails = queries.QUERIES["ingest_eml"](spark, sf_dir).count()
+    assert 0 < count() - before < min(mails, 50)
+
+
 def test_tables(spark, tmp_path):
     path = str(tmp_path / "rows")
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "message_id string, ord int")
