@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +34,15 @@ def _empty(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) == ""
 
 
-def penalties(regions: str | None = "regions") -> Column:
+def penalties(regions: str | None = "regions", trim: Callable[[Column], Column] = strip) -> Column:
     """array<struct<name,value>> for a row of items, in the order in which they are subtracted.
 
     regions names the mail's noise regions; null (an item without its mail) means no check.
+    trim is what a quote's length leaves out at its ends.
     """
     rel = F.col("field") == "relationships"
     quote = F.coalesce(F.col("evidence"), F.lit(""))
-    size = F.length(strip(quote))
+    size = F.length(trim(quote))
     noisy = F.lit(False)
     if regions is not None:
         noisy = F.coalesce(in_noise(F.col("char_start"), F.col("char_end"), F.col(regions)), F.lit(False))
@@ -57,14 +60,14 @@ def penalties(regions: str | None = "regions") -> Column:
     return F.filter(F.array(*found), lambda p: p.isNotNull())
 
 
-def score(items: DataFrame, regions: str | None = "regions") -> DataFrame:
+def score(items: DataFrame, regions: str | None = "regions", trim: Callable[[Column], Column] = strip) -> DataFrame:
     """items with confidence (two decimals) and confidence_penalties."""
-    found = items.withColumn("confidence_penalties", penalties(regions))
+    found = items.withColumn("confidence_penalties", penalties(regions, trim))
     total = F.aggregate("confidence_penalties", F.lit(1.0), lambda s, p: s - p["value"])
     return found.withColumn("confidence", F.round(F.greatest(total, F.lit(FLOOR)), 2))
 
 
-def hard_reject() -> Column:
+def hard_reject(trim: Callable[[Column], Column] = strip) -> Column:
     """The first reason to reject an item whatever its confidence; null without one."""
     named = F.col("field").isin("people", "organizations", "deals")
     rel = F.col("field") == "relationships"
@@ -77,15 +80,15 @@ def hard_reject() -> Column:
         .when(rel & blank(b), "missing_target")
         .when(rel & (F.lower(strip(a)) == F.lower(strip(b))), "self_referential")
         .when(rel & ~kind.isin(*RELATIONSHIP_TYPES), F.concat(F.lit("invalid_relationship_type:"), kind))
-        .when(rel & F.col("evidence_verified").eqNullSafe(F.lit(False)) & (F.length(strip(quote)) < VERY_SHORT), "unverifiable_and_too_short")
+        .when(rel & F.col("evidence_verified").eqNullSafe(F.lit(False)) & (F.length(trim(quote)) < VERY_SHORT), "unverifiable_and_too_short")
         .when(rel & blank(quote), "missing_evidence")
     )
 
 
-def gate(items: DataFrame, approve: float = APPROVE, review: float = REVIEW) -> DataFrame:
+def gate(items: DataFrame, approve: float = APPROVE, review: float = REVIEW, trim: Callable[[Column], Column] = strip) -> DataFrame:
     """items with status (approved, review, rejected) and gate_reason; no confidence counts as 0."""
     c = F.coalesce(F.col("confidence"), F.lit(0.0))
-    found = items.withColumn("_hard", hard_reject())
+    found = items.withColumn("_hard", hard_reject(trim))
     status = F.when(F.col("_hard").isNotNull(), "rejected").when(c >= approve, "approved").when(c >= review, "review").otherwise("rejected")
     reason = (
         F.when(F.col("_hard").isNotNull(), F.concat(F.lit("hard_reject:"), F.col("_hard")))

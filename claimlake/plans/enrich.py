@@ -5,11 +5,13 @@ Regions are found once a mail, before items join; after the join every step is r
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.functions.text import strip
 from claimlake.operators import evidence, noise, reports, scoring, versions
 
 
@@ -25,10 +27,10 @@ def located(items: DataFrame, mails: DataFrame, how: str = "left") -> DataFrame:
     return found.withColumn("evidence_verified", F.when(F.col("_has_mail"), F.col("evidence_verified"))).drop("_has_mail")
 
 
-def enrich(items: DataFrame, mails: DataFrame, prompt_version: str = "", model_name: str = "", how: str = "left") -> DataFrame:
-    """Gated items: located, scored, gated and stamped."""
-    scored = scoring.score(located(items, mails, how))
-    return versions.stamp(scoring.gate(scored), prompt_version, model_name)
+def enrich(items: DataFrame, mails: DataFrame, prompt_version: str = "", model_name: str = "", how: str = "left", trim: Callable[[Column], Column] = strip) -> DataFrame:
+    """Gated items: located, scored, gated and stamped. trim: as scoring.penalties() takes it."""
+    scored = scoring.score(located(items, mails, how), trim=trim)
+    return versions.stamp(scoring.gate(scored, trim=trim), prompt_version, model_name)
 
 
 @dataclass
