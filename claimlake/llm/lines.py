@@ -267,9 +267,9 @@ def fuzzy_labels(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, te
     the lines that share a band, sets the shingle sets of texts.
 
     Rounds compare the lines of a band with a leader drawn by hash, except those that
-    links already join to it, so a band of many copies costs one comparison each. What then is
-    not yet joined within a band meets in pairs; lines of a band of more than GROUP meet all lines
-    of such bands that share one of their rarest shingles instead, which no pair similar enough
+    links already join to it, so a band of many copies costs one comparison each. The lines of a
+    band of two have met after the first round and leave. What then is not yet joined
+    within a band meets in pairs; lines of a band of more than GROUP meet all lines of such bands that share one of their rarest shingles instead, which no pair similar enough
     can avoid. Sizes that differ too much for the similarity are never compared.
     """
     small_batches(docs.sparkSession)
@@ -283,11 +283,11 @@ def fuzzy_labels(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR, te
     for round_ in range(ROUNDS + MORE):
         leader = F.min(F.struct(F.xxhash64("line", F.lit(round_)), F.col("line").alias("l"), F.col("label").alias("ll"), F.col("n").alias("ln"))).alias("x")
         open_ = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), leader).where("lo < hi")
-        open_ = open_.where(F.col("m") > (GROUP if round_ >= ROUNDS else 0)).select("band", "x.l", "x.ll", "x.ln")
+        open_ = open_.where(F.col("m") > (GROUP if round_ >= ROUNDS else 2 if round_ else 0)).select("band", "x.l", "x.ll", "x.ln")
         met = members.join(open_, "band").where((F.col("label") != F.col("ll")) & could("n", "ln"))
         pairs = met.select(F.col("line").alias("a"), F.col("l").alias("b"), F.col("label").alias("la"), F.col("ll").alias("lb")).distinct()
         members = _joined(members, _alike(pairs, texts, similar, sets))
-    open_ = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("band", "m")
+    open_ = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi AND m > 2").select("band", "m")
     left = cut(members.join(open_, "band"), "open")
     few = left.where(F.col("m") <= GROUP).select("line", "n", "label", F.col("band").alias("key"), F.lit(0).alias("place"))
     # a large band holds lines that share a passage: they meet by their rarest shingles
